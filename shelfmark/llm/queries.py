@@ -31,3 +31,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, seed=42, radius=3)
+
+
+@query()
+def op5_token_id_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shelfmark.llm.tokenbin import token_table
+
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
