@@ -40,3 +40,38 @@ def op5_token_id_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.tokenbin import token_table
 
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@query(
+    """
+    WITH q AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.id AS query_id, b.id AS vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+          FROM q a JOIN q b ON a.id % 100 = 0 AND a.id <> b.id)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
+      (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+    """
+)
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.common import written
+    from shelfmark.llm.topk import quantised, top_k
+
+    vectors = written(quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024), "vectors")
+    return top_k(vectors, vectors.where("id % 100 = 0"), k=10)
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS newest,
+            array_to_string(list_transform(string_split(hex, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CASE WHEN substr(bits, (1 + 5 * i + j)::BIGINT, 1) = '1' THEN (1 << (4 - j)::INTEGER) ELSE 0 END))::INTEGER, 1)), '') AS payload_digest,
+      CASE WHEN page_id IS NOT DISTINCT FROM newest OR newest IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM newest AND newest IS NOT NULL THEN newest END AS refers_to FROM g
+    """
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
