@@ -71,23 +71,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def prefix_sums(df: DataFrame, order: list, value: str, into: str, partitions: int | None = None) -> DataFrame:
-    """Adds the sum of `value` over all rows that come before a row in the given order.
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each value column in sums, the sum over all rows before a row in the given order, under the given name.
 
     The rows are range partitioned and written, so that the parts' order is fixed; sums within a part come from a
     window on the part, and the parts' offsets from one row for each part. No task sees more than one part. `order`
     must be a total order for the result to be defined.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    parts = laid.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    parts = laid.groupBy("_part").agg(*(F.sum(v).alias(f"_{k}") for v, k in sums.items()))
     # one row for each partition: as many as there are tasks, whatever the input
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    offsets = parts.select("_part", *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums.values()))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        laid.join(F.broadcast(offsets), "_part")
-        .withColumn(into, (F.coalesce(F.sum(value).over(within), F.lit(0)) + F.col("_offset")).cast("long"))
-        .drop("_part", "_offset")
-    )
+    placed = laid.join(F.broadcast(offsets), "_part")
+    return placed.withColumns({k: (F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"_{k}")).cast("long") for v, k in sums.items()}).drop("_part", *(f"_{k}" for k in sums.values()))

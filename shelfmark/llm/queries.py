@@ -75,3 +75,53 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    r"""
+    WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                     md5('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    sums AS (SELECT source, sum(size)::BIGINT AS source_size, greatest(1, ceil((sum(size) + count(*) * 16) / 262144))::BIGINT AS shards FROM sized GROUP BY source),
+    w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sums),
+    c AS (SELECT *, sid % 3 + 1 AS weight, source_size * 3 AS cap, (source_size * 3)::DOUBLE / (sid % 3 + 1) AS ratio FROM w),
+    p AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS lvl
+          FROM c WINDOW o AS (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT *, least(cap::DOUBLE, weight * coalesce((SELECT arg_min(lvl, (ratio, sid)) FROM p WHERE lvl <= ratio), 3.0::DOUBLE)) AS target FROM p),
+    laid AS (SELECT s.*, sid, source_size, target, ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+    cells AS (SELECT sid, shard, sum(size)::BIGINT AS length, CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size)::BIGINT / any_value(source_size) ELSE 0.0::DOUBLE END AS goal FROM laid GROUP BY ALL),
+    seats AS (SELECT round_even((SELECT sum(size) FROM sized)::DOUBLE / 32, 0)::BIGINT AS n),
+    open_ AS (SELECT sid, shard, goal, unnest(range(0, (goal / 32 * 1.1 + 9)::BIGINT)) AS k FROM cells WHERE goal > 0),
+    ranked AS (SELECT sid, shard, row_number() OVER (ORDER BY goal / (2 * k + 1) DESC, sid, shard, k) AS place FROM open_),
+    quotas AS (SELECT sid, shard, count(*) AS quota FROM ranked, seats WHERE place <= n GROUP BY ALL),
+    arcs AS (SELECT sid, shard, length, least(coalesce(quota, 0) * 32, length * 3) AS tokens,
+               ('0x' || substr(md5('1:' || sid || ':' || shard), 1, 8))::BIGINT % ceil(length / 32)::BIGINT * 32 AS start
+             FROM cells LEFT JOIN quotas USING (sid, shard) WHERE length > 0),
+    x AS (SELECT l.*, coalesce(sum(size) OVER (PARTITION BY sid, shard ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low FROM laid l)
+    SELECT doc_id, size, source_size, target,
+      coalesce(tokens // length * size + greatest(0, least(low + size, start + tokens % length) - greatest(low, start))
+        + greatest(0, least(low + size, start + tokens % length - length) - greatest(low, start - length)), 0)::BIGINT AS taken
+    FROM x LEFT JOIN arcs USING (sid, shard)
+    """
+)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+    ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+    s AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+    m AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY item_id)
+    SELECT doc_id, x.item_id, shared, item_shingles, shared / item_shingles AS containment
+    FROM (SELECT doc_id, s.item_id, count(*) AS shared FROM ds JOIN s USING (s) GROUP BY ALL) x JOIN m ON x.item_id IS NOT DISTINCT FROM m.item_id
+    WHERE shared / item_shingles >= 0.8 - 1e-9
+    """
+)
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, width=5)

@@ -243,7 +243,7 @@ def _cast(run, names: list[str]):
 
 def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the shards of a manifest."""
-    placed = prefix_sums(manifest.select("path", "first_id", "part", "seq", "tokens"), ["first_id", "part", "seq"], "tokens", "offset")
+    placed = prefix_sums(manifest.select("path", "first_id", "part", "seq", "tokens"), ["first_id", "part", "seq"], {"tokens": "offset"})
     return placed.select("path", "offset").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
