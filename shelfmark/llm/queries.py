@@ -125,3 +125,83 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, width=5)
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list feed over the hosts of pages: hosts are listed and struck off on days that follow from their MD5."""
+    from pyspark.sql import functions as F
+
+    from shelfmark.llm.urlfilter import host_of
+
+    hosts = pages.select(host_of(F.col("url")).alias("h")).where("h <> ''").distinct()
+    x = F.conv(F.substring(F.md5("h"), 1, 4), 16, 10).cast("int")
+    day = lambda n: F.timestamp_add("DAY", n, F.lit("2024-01-01").cast("timestamp_ntz"))
+    row = lambda *c: F.struct(*(v.alias(k) for v, k in zip(c, ("list", "key", "action", "op", "at"), strict=True)))
+    add, strike = day(x % 40), day(60 + x % 90)
+    own = F.array(row(F.lit("hosts"), F.col("h"), F.lit("block"), F.lit("add"), add), row(F.lit("hosts"), F.col("h"), F.lit("block"), F.lit("remove"), strike))
+    path = F.array(row(F.lit("paths"), F.concat("h", F.lit("/en")), F.lit("allow"), F.lit("add"), day(x % 20)))
+    none = F.array().cast(own_type := "array<struct<list:string,key:string,action:string,op:string,at:timestamp_ntz>>")
+    listed = hosts.select(F.explode(F.concat(F.when(x % 3 == 0, own.cast(own_type)).otherwise(none), F.when(x % 6 == 0, path.cast(own_type)).otherwise(none))).alias("e")).select("e.*")
+    fixed = [("domains", "example.org", "block", op, at) for op, at in (("add", "2024-02-15"), ("remove", "2024-03-10"), ("add", "2024-05-01"))]
+    return listed.unionByName(pages.sparkSession.createDataFrame(fixed, "list string, key string, action string, op string, at string").withColumn("at", F.col("at").cast("timestamp_ntz")))
+
+
+@query(
+    r"""
+    WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id % 180)::INTEGER) AS fetched,
+                 lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS h,
+                 lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]*)', 1)) AS s FROM pages),
+    hosts AS (SELECT h, ('0x' || substr(md5(h), 1, 4))::INTEGER AS x FROM (SELECT DISTINCT h FROM p WHERE h <> '')),
+    held AS (
+      SELECT 'hosts' AS list, h AS key, 'block' AS action, TIMESTAMP '2024-01-01' + to_days(x % 40) AS since, TIMESTAMP '2024-01-01' + to_days(60 + x % 90) AS until FROM hosts WHERE x % 3 = 0
+      UNION ALL SELECT 'paths', h || '/en', 'allow', TIMESTAMP '2024-01-01' + to_days(x % 20), NULL FROM hosts WHERE x % 6 = 0
+      UNION ALL SELECT * FROM (VALUES ('domains', 'example.org', 'block', TIMESTAMP '2024-02-15', TIMESTAMP '2024-03-10'), ('domains', 'example.org', 'block', TIMESTAMP '2024-05-01', NULL))),
+    m AS (SELECT page_id, list, key, action, row_number() OVER (PARTITION BY page_id ORDER BY contains(key, '/') DESC, len(key) - len(replace(key, '.', '')) DESC, action, list, key) AS n
+          FROM p JOIN held ON (h = key OR ends_with(h, '.' || key) OR h || '/' || s = key) AND since <= fetched AND (until IS NULL OR until > fetched))
+    SELECT p.page_id, p.url, p.fetched, coalesce(action, 'allow') AS verdict, list, key FROM p LEFT JOIN m ON p.page_id = m.page_id AND n = 1
+    """
+)
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from shelfmark.llm.urlfilter import judge
+
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.timestamp_add("DAY", F.col("page_id") % 180, F.lit("2024-01-01").cast("timestamp_ntz"))
+    return judge(pages.withColumn("fetched", fetched), list_entries(pages))
+
+
+def _license_sql() -> str:
+    from shelfmark.llm.licenses import EQUIVALENT, LICENCES
+
+    def canonical(lines: str) -> str:
+        """SQL for the canonical text of a list of lines."""
+        kept = rf"list_filter({lines}, lambda l: NOT regexp_matches(l, '^[ \t*#/]*(copyright\b|\(c\)|©|all rights reserved)', 'i') OR regexp_matches(l, '^[ \t*#/]*copyright[ \t]+(holder|owner|notice|law)', 'i'))"
+        t = rf"trim(regexp_replace(lower(array_to_string({kept}, chr(10))), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+        for other, one in EQUIVALENT:
+            t = rf"regexp_replace({t}, '\b{other}(s?)\b', '{one}\1', 'g')"
+        return t
+
+    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in LICENCES)
+    return f"""
+    WITH known AS (SELECT sha256(c) AS digest, min(license) AS license FROM (SELECT license, {canonical("string_split(t, chr(10))")} AS c FROM (VALUES {known}) v(license, t)) GROUP BY 1),
+    d AS (SELECT doc_id, text, {canonical("string_split(text, chr(10))")} AS c FROM documents),
+    l AS (SELECT doc_id, {canonical("[line]")} AS c FROM (SELECT doc_id, unnest(string_split_regex(text, '[\\n\\r]+')) AS line FROM documents)),
+    n AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM l JOIN known ON sha256(l.c) = digest WHERE l.c <> '' GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest, license, coalesce(notices, '') AS notices
+    FROM d LEFT JOIN known ON c <> '' AND sha256(c) = digest LEFT JOIN n ON d.doc_id IS NOT DISTINCT FROM n.doc_id
+    """
+
+
+@query(_license_sql())
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))

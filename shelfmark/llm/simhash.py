@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WORD, small, written
+from shelfmark.llm.common import small, written
 from shelfmark.llm.graph import components
 
 #: Fingerprints of one list that a task compares at once; a longer list is dealt out as pairs of blocks.
@@ -181,4 +181,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-__all__ = ["WORD", "fingerprints", "near_duplicates", "near_links"]
+__all__ = ["fingerprints", "near_duplicates", "near_links"]
