@@ -205,3 +205,10 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.pii import scan
+
+    return scan(table(spark, sf_dir, "documents"))
