@@ -17,8 +17,7 @@ from shelfmark.llm.common import small, written
 
 def normal_words(text: Column) -> Column:
     """Lower-case runs of letters, marks and digits; an empty array for null and for none."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
-    return F.when(F.length(plain) > 0, F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.coalesce(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), F.array().cast("array<string>")), "")
 
 
 def shingle_rows(df: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
@@ -26,11 +25,13 @@ def shingle_rows(df: DataFrame, text: str, keep: list[str], width: int) -> DataF
 
     A text of fewer words is one run, with nulls at its end; one without words has none.
     """
-    words = df.select(*keep, normal_words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    # a generator keeps the optimizer from writing the words' expression into each of its uses
+    words = df.select(*keep, F.explode(F.array(normal_words(F.col(text)))).alias("_w")).where(F.size("_w") > 0)
     runs = words.withColumn("n", F.greatest(F.size("_w") - (width - 1), F.lit(1)))
     shifted = [F.slice("_w", i + 1, F.col("n")).alias(f"w{i}") for i in range(width)]
     zipped = runs.select(*keep, "n", F.arrays_zip(*shifted).alias("_z"))
-    return zipped.select(*keep, "n", F.inline("_z").alias(*(f"w{i}" for i in range(width))))
+    # never empty; the outer form spares a filter that would make the arrays a second time
+    return zipped.select(*keep, "n", F.inline_outer("_z").alias(*(f"w{i}" for i in range(width))))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
