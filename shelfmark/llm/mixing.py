@@ -52,7 +52,7 @@ def apportion(cells: DataFrame, goal: str, seats: int) -> DataFrame:
     return bounds.join(more, ["sid", "shard"], "left").withColumn("quota", F.col("base") + F.coalesce("more", F.lit(0))).drop("base", "top", "more")
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 1, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 1, block: int = BLOCK, shard: int = SHARD, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies of every row.
 
     size: words of the text (null: 0). A source's rows are dealt into shards by a seeded hash of doc_id, and laid in a
@@ -60,17 +60,18 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, shar
     every block is taken equally often, give or take one, and never over `most` times. taken: the words of the row so
     taken; copies: how often its middle word is, for those who mix whole rows. Rows with equal doc_id, source and size
     are alike; null ids and sources are values of their own. Nothing depends on partitions, so reruns agree.
+    Columns in `carry` go along.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = written(docs.select("doc_id", "source", size.alias("size"), order.alias("h")), "sized")
+    sized = written(docs.select("doc_id", *carry, "source", size.alias("size"), order.alias("h")), "sized")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     shards = F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("rows") * ROW) / shard)).alias("shards")
     placed = targets(sums.select("source", "source_size"), cycle, most, share)
     sources = written(placed.join(sums.select(F.col("source").alias("s"), shards), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("pos", "sid"), "sources")
     known = small(sources.withColumnRenamed("source", "s"))
     cut = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.col("shards")).alias("shard")
-    rows = sized.join(known, sized.source.eqNullSafe(known.s)).select("doc_id", "source", "size", "h", "sid", cut, "source_size", "target")
+    rows = sized.join(known, sized.source.eqNullSafe(known.s)).select("doc_id", *carry, "source", "size", "h", "sid", cut, "source_size", "target")
     laid = written(rows, "laid")
     lengths = laid.groupBy("sid", "shard").agg(F.sum("size").alias("length"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     cells = written(lengths.select("sid", "shard", "length", F.when(F.col("source_size") > 0, F.col("target") * F.col("length") / F.col("source_size")).otherwise(0.0).alias("goal")), "cells")
@@ -89,4 +90,4 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, shar
     inside = ((middle >= begin) & (middle < end)) | (middle < end - F.col("length"))
     taken = F.coalesce(F.col("full") * F.col("size") + over, F.lit(0)).cast("long")
     copies = F.when(F.col("size") > 0, F.coalesce(F.col("full") + F.when(inside, 1).otherwise(0), F.lit(0))).otherwise(0).cast("int")
-    return on.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+    return on.select("doc_id", *carry, "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))

@@ -65,7 +65,7 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, max_train: int = MAX_TRAIN, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, doc_score, host_rate, path_rate, score, keep for every row of docs.
 
     doc_score is the document model's probability of good quality; a labelled row counts as its label in its site's
@@ -75,20 +75,20 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
     Null texts count as empty, null hosts and paths as groups of their own; rows are kept apart even if ids repeat (all
     of them then take the label). Labels that are null are ignored, contradicting ones for one id are averaged. Without
-    usable labels all rows score alike. host and path default to source and lang.
+    usable labels all rows score alike. host and path default to source and lang. Columns in `carry` go along.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     own = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
     made = features(F.col("text"))
-    seen = written(docs.select("doc_id", own(host).alias("host"), own(path).alias("path"), *(v.cast("double").alias(k) for k, v in made.items())), "features")
+    seen = written(docs.select("doc_id", *carry, own(host).alias("host"), own(path).alias("path"), *(v.cast("double").alias(k) for k, v in made.items())), "features")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     seen = written(seen.join(known, "doc_id", "left"), "labelled")
     sample = seen.where("y in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("y", *FEATURES).toPandas()
     weights, intercept = fit(sample[list(FEATURES)].to_numpy(dtype=float), sample["y"].to_numpy(dtype=float))
     logit = sum((F.col(k) * float(w) for k, w in zip(FEATURES, weights, strict=True)), F.lit(intercept))
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
-    rows = seen.select("doc_id", "host", "path", p.alias("doc_score"), F.coalesce("y", p).alias("e"))
+    rows = seen.select("doc_id", *carry, "host", "path", p.alias("doc_score"), F.coalesce("y", p).alias("e"))
     paths = written(rows.groupBy("host", "path").agg(F.count("*").alias("pn"), F.sum("e").alias("ps")), "paths")
     hosts = written(paths.groupBy("host").agg(F.sum("pn").alias("hn"), F.sum("ps").alias("hs")), "hosts")
     n, s = hosts.agg(F.sum("hn"), F.sum("hs")).first()
@@ -102,7 +102,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     path_rate = (F.greatest(F.lit(0.0), F.col("ps") - F.col("e")) + k_path * F.col("host_rate")) / (F.col("pn") - 1 + k_path)
     score = 1 / (1 + F.exp(-(_logit(F.col("doc_score")) + _logit(F.col("path_rate")) - float(np.log(mu / (1 - mu))))))
     out = at.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate).withColumn("score", score)
-    return out.select("doc_id", "doc_score", "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("keep"))
+    return out.select("doc_id", *carry, "doc_score", "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("keep"))
 
 
 __all__ = ["MAX_TRAIN", "classify", "features", "fit"]

@@ -143,7 +143,7 @@ def _links(radius: int):
 
 
 def near_links(nodes: DataFrame, radius: int = 3, positions: int = 7) -> DataFrame:
-    """Links (u, v) that join all fingerprints differing in at most radius bits. nodes: (node long, fp long), distinct fp.
+    """Links (u, v) that join all fingerprints differing in at most radius bits. nodes: (node long, fp long), distinct nodes.
 
     The lists hold min(8 - radius, positions - radius) bytes out of the first `positions`: with 7 and radius 3, four
     bytes, 35 lists a fingerprint, and a list of unrelated ones has one in 2**32 of them. A list of over BLOCK
@@ -154,7 +154,7 @@ def near_links(nodes: DataFrame, radius: int = 3, positions: int = 7) -> DataFra
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("kv")) for i, m in enumerate(signed)))).alias("e")).select("e.c", "e.kv", "fp", "node")
     long = written(rows.groupBy("c", "kv").count().where(F.col("count") > BLOCK).select("c", "kv", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb")), "long")
-    own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.least(own, o) * F.col("nb") + F.greatest(own, o))
     if long.isEmpty():
         dealt = rows.withColumn("b", F.lit(0))
@@ -163,7 +163,7 @@ def near_links(nodes: DataFrame, radius: int = 3, positions: int = 7) -> DataFra
         dealt = kept.withColumn("b", F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(pairs)))
     return (
         dealt.select("c", "kv", "b", "fp", "node").repartition("c", "kv", "b").sortWithinPartitions("c", "kv", "b", "fp")
-        .mapInArrow(_links(radius), "u long, v long").distinct()
+        .mapInArrow(_links(radius), "u long, v long").where("u <> v").distinct()
     )
 
 
@@ -181,4 +181,44 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-__all__ = ["fingerprints", "near_duplicates", "near_links"]
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.concatenate([*shingle_hashes(w, width, 0), np.zeros(0, dtype=np.uint64)])).view(np.int64) for w in map(words_of, batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+
+def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42, 1), radius: int = 5, verify: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, digest) of all texts but one of each group of near-duplicates; digest is xxhash64 of the text.
+
+    Two texts are linked if the sets of their shingles of `verify` words have a Jaccard similarity of at least
+    `similarity`; groups are what links connect, and the text of the smallest doc_id stays. Candidates come from the
+    byte-position index over fingerprints of several seeds, whose short shingles move few bits when a word changes.
+    Equal texts are one node, with its smallest id. Texts with a null id are never in the result, nor are texts without words
+    unless they are equal. Each list returns a forest of least distances, so that links which the index finds are
+    verified through a chain of the closest texts.
+    """
+    tagged = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.xxhash64("text").alias("digest")
+    texts = written(tagged.select("doc_id", digest).groupBy("digest").agg(F.min("doc_id").alias("node")), "texts")
+    prints = [f"fp{i}" for i in range(len(seeds))]
+    printed = fingerprints(tagged.withColumn("digest", F.xxhash64("text")), width, seeds, "digest")
+    nodes = written(printed.groupBy(F.col("id").alias("node")).agg(*(F.first(c).alias(c) for c in prints)).where("fp0 <> 0"), "nodes")
+    links = None
+    for i in range(len(seeds)):
+        found = near_links(nodes.select("node", F.col(f"fp{i}").alias("fp")), radius, positions=8)
+        links = found if links is None else links.union(found)
+    links = written(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    linked = small(written(links.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), "linked"))
+    texts_of = tagged.withColumn("digest", F.xxhash64("text")).join(texts, "digest").where("doc_id = node").join(linked, "digest", "left_semi").select(F.col("digest").alias("node"), "text")
+    sets = written(texts_of.mapInArrow(lambda b: _sets(b, verify), "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    both = links.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    alike = written(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "alike")
+    # components are numbered by a digest; the group's text with the smallest id stays
+    groups = components(alike)
+    member = texts.join(groups.toDF("digest", "component"), "digest", "left").select("digest", "node", F.coalesce("component", "digest").alias("component"))
+    member = written(member, "member")
+    keep = member.groupBy("component").agg(F.min(F.struct("node", "digest")).alias("best"))
+    kept = member.join(keep, "component").select("digest", F.col("best.node").alias("stays"), F.col("best.digest").alias("as"))
+    every = tagged.select("doc_id", digest)
+    return every.join(kept, "digest").where("doc_id <> stays or digest <> as").select("doc_id", "digest").distinct()
