@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import small, written
@@ -15,18 +15,21 @@ from shelfmark.llm.tokenbin import token_table
 
 #: The tokenizer's file; every executor has it.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-_DIGEST = F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs less the rows that have a doc_id and digest of bad, with all their columns."""
     bad = small(written(bad.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "bad"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_id"]) & (_DIGEST == bad["_digest"]), "left_anti")
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_id"]) & (_digest() == bad["_digest"]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = classify(docs.withColumn("digest", _DIGEST), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("digest",))
+    scored = classify(docs.withColumn("digest", _digest()), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("digest",))
     return without(docs, scored.where("not keep"))
 
 
@@ -44,9 +47,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come to their target weights: a document comes as often as the mix takes its middle word, up to 3 times."""
-    counts = mix(docs.withColumn("digest", _DIGEST), cycle=(1, 2, 3), most=3, carry=("digest",))
+    counts = mix(docs.withColumn("digest", _digest()), cycle=(1, 2, 3), most=3, carry=("digest",))
     times = counts.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    joined = docs.join(times.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (_DIGEST == F.col("_digest")))
+    joined = docs.join(times.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (_digest() == F.col("_digest")))
     return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
