@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import pkgutil
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,3 +44,20 @@ def load() -> None:
 
     for m in pkgutil.iter_modules(here.__path__):
         importlib.import_module(f"shelfmark.plans.{m.name}")
+
+
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Registers a query that is plain SQL, run by Catalyst on the tables it names; `oracle` where DuckDB's words differ."""
+    used = [t for t in _TABLES if re.search(rf"\b{t}\b", text)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in used:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return spark.sql(text)
+
+    if name in QUERIES:
+        raise ValueError(f"two queries are named {name}")
+    QUERIES[name], ORACLE[name] = run, oracle or text
