@@ -84,7 +84,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     seen = written(docs.select("doc_id", *carry, own(host).alias("host"), own(path).alias("path"), *(v.cast("double").alias(k) for k, v in made.items())), "features")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     seen = written(seen.join(known, "doc_id", "left"), "labelled")
-    sample = seen.where("y in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("y", *FEATURES).toPandas()
+    # a share by hash first, so that no task sends the driver much more than its part of the sample
+    usable = seen.where("y in (0, 1)")
+    share = min(1.0, 1.5 * max_train / max(1, usable.count()))
+    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("y", *FEATURES).toPandas()
     weights, intercept = fit(sample[list(FEATURES)].to_numpy(dtype=float), sample["y"].to_numpy(dtype=float))
     logit = sum((F.col(k) * float(w) for k, w in zip(FEATURES, weights, strict=True)), F.lit(intercept))
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
