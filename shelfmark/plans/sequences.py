@@ -144,7 +144,7 @@ def primary_and_fallbacks(t: Tables) -> DataFrame:
 
 
 sql("publication_barrier", """
-WITH c AS (SELECT l_orderkey AS work, l_linenumber AS k, bool_or(l_returnflag = 'A') AS published, bool_or(l_quantity < 5) AS gap FROM lineitem WHERE (l_orderkey + 3 * l_linenumber) % 4 <> 0 GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey),
+WITH c AS (SELECT l_orderkey AS work, l_linenumber AS k, bool_or(l_returnflag = 'A') AS published, bool_or(l_quantity < 5) AS gap FROM lineitem WHERE (l_orderkey + 3 * l_linenumber) % 4 <> 0 GROUP BY l_orderkey, l_linenumber),
 k AS (SELECT *, lag(k) OVER (PARTITION BY work ORDER BY k) AS prev FROM c),
 b AS (SELECT *, count(CASE WHEN NOT published THEN 1 END) OVER (PARTITION BY work ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blocking, max(CASE WHEN published THEN k END) OVER (PARTITION BY work) AS newest FROM k)
 SELECT work, k, CASE WHEN prev IS NULL AND k <= 1.5 THEN 'INITIAL' WHEN newest IS NOT NULL AND k < newest THEN 'BACKFILL' WHEN blocking > 0 THEN 'BLOCKED' WHEN k - coalesce(prev, 0) <= 1.05 THEN 'STEP' WHEN gap THEN 'COVERED_GAP' ELSE 'UNRESOLVED_GAP' END AS decision FROM b WHERE NOT published""")
