@@ -10,6 +10,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that say how a title was published, not what it is; words that carry no meaning.
 NOISE = ("scan", "scans", "manga", "manhwa", "manhua", "webtoon", "comic", "comics", "raw", "official", "colored")
@@ -22,7 +23,7 @@ def catalog_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(c), *FOLD), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_title(titles: pd.Series) -> pd.Series:
     """NFKD without combining marks, lower case, no apostrophes, other signs to spaces, noise words out."""
 
@@ -82,7 +83,7 @@ def _dice(a: str | None, b: str | None) -> float | None:
     return 2 * sum((x & y).values()) / (len(a) + len(b) - 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def dice_bigram(a: pd.Series, b: pd.Series) -> pd.Series:
     """Dice over multisets of bigrams: 1 for equal texts, 0 under two characters."""
     return pd.Series([_dice(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -103,7 +104,7 @@ def guards(title: Column) -> Column:
     return F.struct(t.rlike(r"\b(novel|light novel)\b").alias("novel"), season.alias("season"), t.rlike(r"\b(side story|spin-?off|gaiden)\b").alias("side"), t.rlike(r"\b(remake|remastered|special edition|sequel)\b").alias("edition"))
 
 
-@F.pandas_udf("struct<method string, confidence double>")
+@F.pandas_udf(T.StructType([T.StructField("method", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 def match_cascade(a: pd.Series, b: pd.Series, aliases: pd.Series) -> pd.DataFrame:
     """How two titles match: exact, compact, significant words, alias, else fuzzy at 0.85 or more; guards come first."""
 
@@ -147,7 +148,7 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("struct<key string, sort_key string, kind string>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("key", "sort_key", "kind")]))
 def chapter_identity(labels: pd.Series, language: pd.Series, edition: pd.Series) -> pd.DataFrame:
     """Canonical key `lang|edition|kind|number|title` and a key that sorts: 12.00 is 12, 12.10 isn't 12.1.
 
@@ -168,7 +169,7 @@ def chapter_identity(labels: pd.Series, language: pd.Series, edition: pd.Series)
     return pd.DataFrame([one(*r) for r in zip(labels, language, edition, strict=True)], columns=["key", "sort_key", "kind"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def merge_aliases(primary: pd.Series, aliases: pd.Series) -> pd.Series:
     """Aliases without the primary title, empty ones and repeats in other spelling (the first stays); 50 at most."""
 
