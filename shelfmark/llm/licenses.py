@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,24 +35,47 @@ EQUIVALENT = (("licence", "license"), ("licenced", "licensed"), ("sub license",
 _HOLDER = r"(?mi)^[\x20\x09*#/]*(?:copyright\b(?![\x20\x09]+(?:holder|owner|notice|law))|\(c\)|©|all rights reserved)[^\n]*+$"
 
 
-def canonical(text: Column) -> Column:
-    """A text without copyright lines, case, punctuation and spacing, in one spelling; null for null."""
-    t = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, _HOLDER, " ")), r"[^\p{L}\p{M}\p{N}]++", " "))
+_HOLDER_WORDS = ("copyright", "(c)", "©", "all rights reserved")
+
+
+def _any(c: Column, words) -> Column:
+    """Whether a text has one of the words: a plain search, which spares most texts the patterns."""
+    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
+
+
+def _one_spelling(c: Column) -> Column:
     for other, one in EQUIVALENT:
-        t = F.regexp_replace(t, rf"\b{other}(?=s?\b)", one)
-    return t
+        c = F.regexp_replace(c, rf"\b{other}(?=s?\b)", one)
+    return c
+
+
+def units(df: DataFrame, text: str, keep: list[str], lines: bool = True) -> DataFrame:
+    """Kept columns, place, unit: a row with place 0 and the canonical text, then one for each of its lines that isn't empty.
+
+    Canonical: without lines that say who holds the copyright, without case, punctuation and spacing, in one spelling.
+    A null text has a null unit. Each step is behind a generator, so that it is done once and not in each of its uses.
+    """
+    step = lambda d, e, name: d.select(*keep, F.explode(F.array(e)).alias(name))
+    low = step(df, F.lower(text), "_l")
+    open_ = F.when(_any(F.col("_l"), _HOLDER_WORDS), F.regexp_replace("_l", _HOLDER, " ")).otherwise(F.col("_l"))
+    plain = step(low, F.regexp_replace(open_, r"[^\p{L}\p{M}\p{N}\n\r]++", " "), "_p")
+    parts = F.array(F.trim(F.regexp_replace("_p", r"[ \n\r]++", " ")))
+    if lines:
+        parts = F.concat(parts, F.coalesce(F.split("_p", r"[\n\r]++"), F.array().cast("array<string>")))
+    each = plain.select(*keep, F.posexplode(parts).alias("place", "_u")).select(*keep, "place", F.trim("_u").alias("_u"))
+    spelled = F.when(_any(F.col("_u"), [o for o, _ in EQUIVALENT]), _one_spelling(F.col("_u"))).otherwise(F.col("_u"))
+    return each.where("place = 0 or _u <> ''").select(*keep, "place", spelled.alias("unit"))
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical text; null for null and for texts of which nothing is left."""
-    c = canonical(text)
-    return F.when(F.length(c) > 0, F.sha2(c, 256))
+def digest(unit: Column) -> Column:
+    """SHA-256 of a canonical text; null for null and for nothing."""
+    return F.when(F.length(unit) > 0, F.sha2(unit, 256))
 
 
 def known_digests(spark: SparkSession, texts: tuple[tuple[str, str], ...] = LICENCES) -> DataFrame:
     """(digest, license) of known texts, one row for each digest."""
     rows = spark.createDataFrame(list(texts), "license string, t string")
-    return rows.select(digest(F.col("t")).alias("digest"), "license").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    return units(rows, "t", ["license"], lines=False).select(digest(F.col("unit")).alias("digest"), "license").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -61,8 +86,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     that share an id share their notices. `known`: (digest, license), distinct digests.
     """
     known = small(written(known_digests(docs.sparkSession) if known is None else known, "known"))
-    lines = docs.where("text is not null").select("doc_id", F.explode(F.split("text", r"[\n\r]++")).alias("line")).where(F.length("line") > 0)
-    found = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(known, "digest").select("doc_id", "license").distinct()
-    notices = written(found.groupBy(F.col("doc_id").alias("d")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices")), "notices")
-    whole = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
+    looked = units(docs.select("doc_id", "text"), "text", ["doc_id"]).withColumn("digest", digest(F.col("unit"))).join(known, "digest", "left")
+    found = written(looked.where("place = 0 or license is not null").select("doc_id", "place", "digest", "license"), "units")
+    notices = found.where("place > 0").groupBy(F.col("doc_id").alias("d")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = found.where("place = 0")
     return whole.join(notices, whole.doc_id.eqNullSafe(notices.d), "left").select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
