@@ -171,9 +171,10 @@ def _write(folder: str, tokenizer: str, end_id: int, most: int):
             store.create_dir(root)
             with store.open_output_stream(name) as f:
                 f.write(data)
+            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
             row = {"path": [name], "part": [part], "seq": [seq], "first_id": [docs[0]], "docs": [len(docs)], "tokens": [sum(lengths)], "bytes": [len(data)]}
             docs, held, lengths, seq = [], [], [], seq + 1
-            return pa.RecordBatch.from_pydict(row)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
         total = 0
         for ids, texts in _bites(batches):
@@ -227,20 +228,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     laid = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     kind = "path string, part int, seq int, first_id long, docs long, tokens long, bytes long"
-    made = laid.mapInArrow(_cast(_write(folder, tokenizer, end_id, shard_tokens), ["part", "seq"]), kind)
+    made = laid.mapInArrow(_write(folder, tokenizer, end_id, shard_tokens), kind)
     return folder, written(made, "manifest")
 
 
-def _cast(run, names: list[str]):
-    """Columns that Python numbers left as 64 bits wide."""
-
-    def cast(batches):
-        for b in run(batches):
-            yield pa.RecordBatch.from_arrays([c.cast(pa.int32()) if n in names else c for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
-
-    return cast
-
-
 def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the shards of a manifest."""
     placed = prefix_sums(manifest.select("path", "first_id", "part", "seq", "tokens"), ["first_id", "part", "seq"], {"tokens": "offset"})

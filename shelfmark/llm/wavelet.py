@@ -157,5 +157,5 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
     cuts = np.cumsum([0, 4 * h["sigma"], h["docs"], 8 * h["docs"], 8 * h["docs"], 8 * h["levels"]])
     alphabet, known, ids, lengths, zeros = (np.frombuffer(t[a:b], dtype=d) for a, b, d in zip(cuts, cuts[1:], ("<u4", "u1", "<i8", "<u8", "<u8"), strict=False))
     ranks = np.frombuffer(data, dtype="<u4", count=h["levels"] * h["blocks"], offset=at).reshape(h["levels"], h["blocks"])
-    planes = np.frombuffer(data, dtype=np.uint8, offset=at + ranks.nbytes).reshape(h["levels"], -1)
+    planes = np.frombuffer(data, dtype=np.uint8, offset=at + ranks.nbytes).reshape(h["levels"], h["blocks"] * _BLOCK // 8)
     return WaveletMatrix(h["n"], alphabet, zeros, ranks, planes), [i if ok else None for i, ok in zip(ids.tolist(), known.tolist(), strict=True)], lengths.astype(np.int64)
