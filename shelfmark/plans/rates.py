@@ -14,7 +14,7 @@ def nearest_rank(values: str, p: float):
     return F.element_at(s, (F.least(F.size(s) - 1, F.floor(F.size(s) * F.lit(p))) + 1).cast("int"))
 
 
-_WINDOWS = ", ".join(f"count(*) FILTER (WHERE ts > z - INTERVAL {m} MINUTE) AS n{m}, round(count(*) FILTER (WHERE ts > z - INTERVAL {m} MINUTE) / {m}.0, 1) AS rate{m}" for m in (60, 300, 1440))
+_WINDOWS = ", ".join(f"count(*) FILTER (WHERE ts > z - INTERVAL {m} MINUTE) AS n{m}, round(count(*) FILTER (WHERE ts > z - INTERVAL {m} MINUTE) / {m}e0, 1) AS rate{m}" for m in (60, 300, 1440))
 sql("multi_window_rates", f"SELECT event_type, {_WINDOWS} FROM events CROSS JOIN (SELECT max(ts) AS z FROM events) x GROUP BY event_type")
 
 
@@ -30,7 +30,7 @@ def latency_nearest_rank(t: Tables) -> DataFrame:
 sql("source_stats", "SELECT user_id AS source, count(*) AS n, coalesce(round(avg(value), 1), 0) AS mean, round(sum(value), 3) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")
 sql("slot_utilization", """
 WITH s AS (SELECT CASE WHEN event_type IN ('click', 'purchase') THEN 'busy' WHEN event_type = 'error' THEN 'blocked' ELSE 'idle' END AS state, value FROM events)
-SELECT state, count(*) AS samples, round(100.0 * count(*) / (SELECT count(*) FROM events), 2) AS share, round(avg(value), 4) AS occupancy, round(count(*) * 60 / (avg(value) * count(*)), 4) AS capacity FROM s GROUP BY state""")
+SELECT state, count(*) AS samples, round(1e2 * count(*) / (SELECT count(*) FROM events), 2) AS share, round(avg(value), 4) AS occupancy, round(count(*) * 60 / (avg(value) * count(*)), 4) AS capacity FROM s GROUP BY state""")
 
 
 @query("SELECT user_id, min(ts) FILTER (WHERE prev = 0 AND c > 0) AS first_at FROM (SELECT user_id, ts, (event_type = 'purchase')::INT AS c, coalesce(lag((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS prev FROM events) GROUP BY user_id")

@@ -212,8 +212,7 @@ sql("progress_snapshot", """
 SELECT (SELECT count(*) FROM customer) AS works, (SELECT count(*) FROM orders) AS chapters, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS published,
   (SELECT count(DISTINCT o_custkey) FROM orders) AS active, (SELECT max(o_orderdate) FROM orders) AS latest, (SELECT count(*) FROM lineitem) AS routes,
   (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS blocked, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM documents) AS texts, (SELECT count(DISTINCT text) FROM documents) AS distinct_texts""")
-sql("top3_share", "WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM s) SELECT round(100.0 * sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n), 2) AS top_share, round(100.0 * sum(CASE WHEN k <= 3 THEN n ELSE 0 END) / sum(n), 2) AS top3_share FROM r",
-    "WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM s) SELECT round(100.0 * sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n), 2) AS top_share, round(100.0 * sum(CASE WHEN k <= 3 THEN n ELSE 0 END) / sum(n), 2) AS top3_share FROM r")
+sql("top3_share", "WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM s) SELECT round(1e2 * sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n), 2) AS top_share, round(1e2 * sum(CASE WHEN k <= 3 THEN n ELSE 0 END) / sum(n), 2) AS top3_share FROM r")
 sql("latency_percentile_cont", "SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95 FROM events GROUP BY event_type")
 sql("bounded_count", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' LIMIT 500) x")
 sql("page_integrity", "SELECT conv_id, count(*) AS n, count(DISTINCT turn) = count(*) AND min(turn) = 0 AND max(turn) = count(*) - 1 AND count(*) FILTER (WHERE trim(coalesce(text, '')) = '') = 0 AS sound FROM conversations GROUP BY conv_id")

@@ -83,9 +83,7 @@ SELECT work, frontier, staged FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.w
 sql("canonical_frontier", """
 WITH heads AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem)
 SELECT l_partkey AS work, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM heads WHERE place <= 12 AND l_linestatus = 'O') x WHERE n = 1""")
-sql("focus_score", """
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 60 WHEN o_orderstatus = 'P' THEN 40 ELSE 20 END + least(35.0, 1.5 * (o_orderkey % 48)) + CASE WHEN o_totalprice > 200000 THEN 5 ELSE 0 END AS score FROM orders""",
-    "SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'F' THEN 60 WHEN o_orderstatus = 'P' THEN 40 ELSE 20 END + least(35.0, 1.5 * (o_orderkey % 48)) + CASE WHEN o_totalprice > 200000 THEN 5 ELSE 0 END AS DECIMAL(24,1)) AS score FROM orders")
+sql("focus_score", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 60 WHEN o_orderstatus = 'P' THEN 40 ELSE 20 END + least(35e0, 1.5e0 * (o_orderkey % 48)) + CASE WHEN o_totalprice > 200000 THEN 5 ELSE 0 END AS score FROM orders")
 
 # -- sequences with gaps: work is l_orderkey, keys are line numbers of which some are missing
 _KEYS = "SELECT l_orderkey AS work, l_linenumber AS k FROM lineitem WHERE (l_orderkey + 3 * l_linenumber) % 4 <> 0"
