@@ -1,25 +1,53 @@
 """Folds over ordered samples of a group: EWMA tiers, circuit breakers, rate limits.
 
-A group's samples are folded in order by applyInPandas. Each fold keeps a few numbers, and groups are sources, whose
-samples of one run fit a task; a fold over a stream keeps the same state between batches (see shelfmark.streaming).
+Samples are dealt out by group and sorted within each part, and a part is folded as a stream of Arrow batches: a fold
+keeps a few numbers and the batch at hand, so that no group is ever collected. A fold over a stream keeps the same state
+between batches (see shelfmark.streaming).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Iterator
+from datetime import UTC, datetime
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
 def _fold(df: DataFrame, key: str, order: list[str], fields: str, step, start) -> DataFrame:
-    """One row for each group: the state after the last sample, as step(state, row) leaves it."""
+    """One row for each group: the state after the last sample, as step(state, row) leaves it. Null keys are a group."""
+    kinds = {"double": pa.float64(), "string": pa.string(), "long": pa.int64()}
+    outs = [f.split() for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = (), {}
+
+        def batch(done):
+            columns = zip(*done, strict=True) if done else [()] * (len(outs) + 1)
+            types = [key_type, *(kinds[t] for _, t in outs)]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[key, *(n for n, _ in outs)])
+
+        key_type = None
+        for b in batches:
+            row_of, done = namedtuple("Row", b.schema.names), []
+            key_type = b.schema.field(key).type
+            for row in map(row_of._make, zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                k = getattr(row, key)
+                if now != (k,):
+                    if now:
+                        done.append((now[0], *(state[n] for n, _ in outs)))
+                    now, state = (k,), dict(start)
+                step(state, row)
+            yield batch(done)
+        if now:
+            yield batch([(now[0], *(state[n] for n, _ in outs))])
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {fields}")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        state = dict(start)
-        for row in g.sort_values(order).itertuples(index=False):
-            step(state, row)
-        return pd.DataFrame([{key: g[key].iloc[0], **{k: state[k] for k in (f.split()[0] for f in fields.split(", "))}}])
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {fields}")
+def _seconds(at: datetime) -> float:
+    return (at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp()
 
 
 def ewma_step(state: dict, ms: float, alpha_slow: float = 0.35, alpha_fast: float = 0.15, slow: float = 120.0, fast: float = 60.0, need: int = 5) -> None:
@@ -48,7 +76,7 @@ def breakers(events: DataFrame, key: str, order: list[str], at: str, ok: str, fa
     """Circuit breaker of each source: CLOSED, DEGRADED after a failure, OPEN after three, HALF_OPEN when its wait is over."""
 
     def step(s, r):
-        now = getattr(r, at).timestamp()
+        now = _seconds(getattr(r, at))
         if s["state"] == "OPEN" and now >= s["until"]:
             s["state"] = "HALF_OPEN"
         if s["state"] == "OPEN":
