@@ -3,8 +3,8 @@
 A MinHash of a long document says nothing about a short passage in it, so only the items are sketched: the shingles
 with the least hashes. Items are partitioned by the number of their shingles (powers of two), and all of a partition
 have as many values as guarantee that a document holding the threshold's share of an item's shingles holds some of
-its sketch. Documents look up their shingles in the sketches; candidates with enough values, and with texts long
-enough for the partition, are verified by exact containment of shingles as text.
+its sketch. Documents look up their shingles in the sketches; candidates with enough values are verified by exact
+containment of shingles as text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def normal_words(text: Column) -> Column:
 
 
 def shingle_rows(df: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
-    """A row for each run of `width` words: the kept columns, n (runs of the text) and w0, w1, ...
+    """A row for each run of `width` words: the kept columns and w0, w1, ...
 
     A text of fewer words is one run, with nulls at its end; one without words has none.
     """
@@ -29,9 +29,9 @@ def shingle_rows(df: DataFrame, text: str, keep: list[str], width: int) -> DataF
     words = df.select(*keep, F.explode(F.array(normal_words(F.col(text)))).alias("_w")).where(F.size("_w") > 0)
     runs = words.withColumn("n", F.greatest(F.size("_w") - (width - 1), F.lit(1)))
     shifted = [F.slice("_w", i + 1, F.col("n")).alias(f"w{i}") for i in range(width)]
-    zipped = runs.select(*keep, "n", F.arrays_zip(*shifted).alias("_z"))
+    zipped = runs.select(*keep, F.arrays_zip(*shifted).alias("_z"))
     # never empty; the outer form spares a filter that would make the arrays a second time
-    return zipped.select(*keep, "n", F.inline_outer("_z").alias(*(f"w{i}" for i in range(width))))
+    return zipped.select(*keep, F.inline_outer("_z").alias(*(f"w{i}" for i in range(width))))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -49,10 +49,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, widt
     values = F.floor(F.lit(1 - threshold + 1e-9) * (F.pow(F.lit(2), part + 1) - 1)).cast("int") + 1
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64(F.lit(1), "h"), "h"))
     sketch = known.withColumns({"part": part, "values": F.least(values, F.col("m").cast("int")), "place": place}).where("place <= values")
-    sketch = written(sketch.select("h", "item_id", (F.col("values") - spare).alias("least"), F.ceil(F.lit(threshold - 1e-9) * F.pow(F.lit(2), "part")).alias("size")), "sketch")
+    sketch = written(sketch.select("h", "item_id", (F.col("values") - spare).alias("least")), "sketch")
     rows = shingle_rows(docs, "text", ["doc_id"], width)
-    hits = rows.select("doc_id", "n", F.xxhash64(*runs).alias("h")).join(small(sketch), "h")
-    # rows of one id are one document, so a short one of them may not be left out where ids repeat: n only guides
+    hits = rows.select("doc_id", F.xxhash64(*runs).alias("h")).join(small(sketch), "h")
     tally = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("found"), F.first("least").alias("least"))
     found = written(tally.where("found >= least").select("doc_id", "item_id"), "candidates")
     suspects = small(written(found.select(F.col("doc_id").alias("d")).distinct(), "suspects"))
