@@ -35,7 +35,10 @@ def by_minute(events: DataFrame, wait: str = "10 minutes") -> DataFrame:
 def replay(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what there is and returns its result: as Parquet files, or the final table in complete mode."""
     spark = stream.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="shelfmark-stream-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="shelfmark-stream-")
     out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, _: int) -> None:

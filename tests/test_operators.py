@@ -93,3 +93,18 @@ def test_stream_equals_batch(spark):
     load()
     d = "/root/testdata/sf0.001"
     assert rows(QUERIES["stream_dedup"](spark, d).select("event_id")) == rows(spark.read.parquet(f"{d}/events.parquet").select("event_id").distinct())
+
+
+def test_images(spark):
+    from shelfmark.functions.media import inspect_image
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x06"
+    gif = b"GIF89a" + (3).to_bytes(2, "little") + (4).to_bytes(2, "little") + b"\0" * 20
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (50).to_bytes(2, "big") + (70).to_bytes(2, "big") + b"\0" * 20
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (9).to_bytes(3, "little") + (19).to_bytes(3, "little")
+    avif = b"\0\0\0\x1cftypavif" + b"\0" * 8 + b"ispe\0\0\0\0" + (8).to_bytes(4, "big") + (6).to_bytes(4, "big")
+    wide = png[:16] + (20_000).to_bytes(4, "big") + png[20:]
+    df = spark.createDataFrame(list(enumerate([png, gif, jpeg, webp, avif, wide, png[:20], b"text", None])), "i int, b binary")
+    got = {r.i: tuple(r.m) for r in df.select("i", inspect_image("b").alias("m")).collect()}
+    assert [got[i] for i in range(5)] == [("png", 640, 480, True), ("gif", 3, 4, True), ("jpeg", 70, 50, True), ("webp", 10, 20, True), ("avif", 8, 6, True)]
+    assert not got[5][3] and got[6] == ("png", None, None, False) and got[7] == got[8] == (None, None, None, False)
