@@ -74,6 +74,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_file(files: DataFrame, most: int = 20_000) -> DataFrame:
+    """A table of files, dealt out so that each is a task's own, or so many tasks share them.
+
+    A stated number of partitions, as adaptive execution would put the few short rows into one.
+    """
+    return files.repartition(max(1, min(most, files.count())))
+
+
 def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Adds, for each value column in sums, the sum over all rows before a row in the given order, under the given name.
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import new_path, prefix_sums, written
+from shelfmark.llm.common import by_file, new_path, prefix_sums, written
 from shelfmark.llm.wavelet import pack, unpack
 
 #: Ids of a shard (a longer document is a shard of its own); bytes of text encoded at once; entries of a memo's half.
@@ -235,7 +235,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens:
 def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the shards of a manifest."""
     placed = prefix_sums(manifest.select("path", "first_id", "part", "seq", "tokens"), ["first_id", "part", "seq"], {"tokens": "offset"})
-    return placed.select("path", "offset").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return by_file(placed.select("path", "offset")).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
