@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import new_path, small, written
+from shelfmark.llm.common import by_file, new_path, small, written
 
 #: Bytes of an archive after which the next one begins; captures that a merging task gets, about.
 ARCHIVE_BYTES, MERGE_ROWS = 16 << 20, 200_000
@@ -217,7 +217,7 @@ def merged_index(folder: str, manifest: DataFrame) -> DataFrame:
         yield _batch(held)
 
     spark = manifest.sparkSession
-    captures = written(manifest.select("archive").repartition("archive").mapInArrow(read, _CAPTURE), "runs")
+    captures = written(by_file(manifest.select("archive")).mapInArrow(read, _CAPTURE), "runs")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // MERGE_ROWS))
     keys = ["url_key", "timestamp", "page_id"]
     cut = captures.repartitionByRange(parts, *keys).sortWithinPartitions("archive", *keys, "at")
