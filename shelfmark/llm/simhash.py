@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import small, written
@@ -24,6 +25,8 @@ from shelfmark.llm.graph import components
 BLOCK = 2048
 #: Shingles that are hashed at once, so that memory doesn't grow with a text.
 CHUNK = 1 << 16
+#: Prefixes with the same shingle beyond which it is ordered behind all others; rounds that verify neighbours only.
+COMMON, CHAINS = 128, 2
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -187,15 +190,86 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for sets in _sets(batches, width):
+        held = [np.sort(s) for s in sets.column(1).to_numpy(zero_copy_only=False)]
+        prefixes = [s[: _prefix(len(s), similarity)] for s in held]
+        yield pa.RecordBatch.from_arrays([sets.column(0), pa.array([len(s) for s in held], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "n", "p"])
+
+
+def _prefix(n: int, similarity: float) -> int:
+    """Of any set with a similar one, so many first elements (in one order of all elements) hold one of the other's."""
+    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _listed(prefixes: DataFrame) -> DataFrame:
+    """(h, node, n, i, df) of the prefixes' elements that several sets have: i is the element's place, df how many have it."""
+    rows = prefixes.select("node", "n", F.posexplode("p").alias("i", "h"))
+    return written(rows.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1"), "listed")
+
+
+def _meeting(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(h, node, n, i) of all prefix elements that can join similar sets; texts: (node, text), nodes may repeat.
+
+    Elements are ordered by hash, but those in over COMMON prefixes come last, so that a common passage makes no
+    long lists. Any order that is the same for all sets finds all pairs; this one only sets the cost.
+    """
+    found = texts.mapInArrow(lambda b: _prefixes(b, width, similarity), "node long, n int, p array<long>")
+    prefixes = written(found.dropDuplicates(["node"]), "prefixes")
+    listed = _listed(prefixes)
+    often = written(listed.where(F.col("df") > COMMON).select("h").distinct(), "often")
+    if often.isEmpty():
+        return listed
+    sets = lambda nodes: texts.join(small(written(nodes, "held")), "node", "left_semi").mapInArrow(lambda b: _sets(b, width), "node long, s array<long>").dropDuplicates(["node"]).select("node", F.size("s").alias("n"), F.explode("s").alias("h"))
+    whole = sets(listed.join(small(often), "h", "left_semi").select("node").distinct())
+    often = written(often.union(whole.groupBy("h").count().where(F.col("count") > COMMON).select("h")).distinct(), "common")
+    exploded = prefixes.select("node", F.explode("p").alias("h"))
+    moved = written(exploded.join(small(often), "h", "left_semi").select("node").distinct(), "moved")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("late", "h"))
+    late = sets(moved).join(small(often.withColumn("late", F.lit(True))), "h", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    most = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
+    anew = late.withColumn("i", place).where(F.col("i") <= most).groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "h")))["h"].alias("p"))
+    return _listed(prefixes.join(small(moved), "node", "left_anti").unionByName(anew))
+
+
+def _crossing(listed: DataFrame, joined: DataFrame) -> DataFrame:
+    """listed with each node's component, without the lists that hold one component only."""
+    rows = listed.join(small(joined.toDF("node", "component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = Window.partitionBy("h")
+    return written(rows.withColumn("_least", F.min("component").over(of)).withColumn("_most", F.max("component").over(of)).where("_least <> _most").drop("_least", "_most"), "crossing")
+
+
+def _pair(u, v) -> list:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def _chained(crossing: DataFrame, turn: int) -> DataFrame:
+    """Links (u, v) of neighbours in each list, in an order that differs from list to list: as many as there are rows."""
+    along = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), "h", "node"), "node")
+    after = crossing.withColumn("_v", F.lead("node").over(along)).withColumn("_c", F.lead("component").over(along))
+    return after.where("_c <> component").select(*_pair(F.col("node"), F.col("_v"))).distinct()
+
+
+def _all_pairs(crossing: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of all pairs of two components that meet in a list and can be similar by their sizes and places."""
+    a = crossing.select("h", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "i", "component")))
+    b = crossing.select("h", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "i", "component")))
+    least = F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
+    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
+    near = smaller & (F.col("a_n") >= F.lit(similarity) * F.col("b_n") - 1e-9) & (most >= least)
+    return a.join(b, "h").where((F.col("a_component") != F.col("b_component")) & near).select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
+
+
 def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42, 1), radius: int = 5, verify: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, digest) of all texts but one of each group of near-duplicates; digest is xxhash64 of the text.
 
     Two texts are linked if the sets of their shingles of `verify` words have a Jaccard similarity of at least
-    `similarity`; groups are what links connect, and the text of the smallest doc_id stays. Candidates come from the
-    byte-position index over fingerprints of several seeds, whose short shingles move few bits when a word changes.
-    Equal texts are one node, with its smallest id. Texts with a null id are never in the result, nor are texts without words
-    unless they are equal. Each list returns a forest of least distances, so that links which the index finds are
-    verified through a chain of the closest texts.
+    `similarity`; groups are what links connect, and the text of the smallest doc_id stays. The byte-position index over
+    fingerprints of several seeds joins most copies at little cost. What it can't guarantee comes from an exact prefix
+    join of the shingles: CHAINS times neighbours in its lists are verified, to join large groups by few links, then all
+    pairs of different components that weren't. Equal texts are one node, with its smallest id. Texts with a null id
+    are never in the result, nor are texts without words unless they are equal.
     """
     tagged = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     digest = F.xxhash64("text").alias("digest")
@@ -207,15 +281,31 @@ def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42
     for i in range(len(seeds)):
         found = near_links(nodes.select("node", F.col(f"fp{i}").alias("fp")), radius, positions=8)
         links = found if links is None else links.union(found)
-    links = written(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    linked = small(written(links.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), "linked"))
-    texts_of = tagged.withColumn("digest", F.xxhash64("text")).join(texts, "digest").where("doc_id = node").join(linked, "digest", "left_semi").select(F.col("digest").alias("node"), "text")
-    sets = written(texts_of.mapInArrow(lambda b: _sets(b, verify), "node long, s array<long>").dropDuplicates(["node"]), "sets")
-    both = links.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = written(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "alike")
+    links = written(links.select(*_pair(F.col("u"), F.col("v"))).distinct(), "links")
+    texts_of = tagged.select(digest.alias("node"), "text")
+    listed = _meeting(texts_of, verify, similarity)
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).union(listed.select("node")).distinct()
+    held = texts_of.join(small(written(ends, "linked")), "node", "left_semi")
+    sets = written(held.mapInArrow(lambda b: _sets(b, verify), "node long, s array<long>").dropDuplicates(["node"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return written(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "alike")
+
+    alike, tried = verified(links), links
     # components are numbered by a digest; the group's text with the smallest id stays
     groups = components(alike)
+    crossing = _crossing(listed, groups)
+    for turn in range(CHAINS + 1):
+        if crossing.isEmpty():
+            break
+        pairs = _chained(crossing, turn) if turn < CHAINS else _all_pairs(crossing, similarity)
+        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        alike, tried = alike.union(verified(pairs)), tried.union(pairs)
+        groups = components(alike)
+        if turn < CHAINS:
+            crossing = _crossing(crossing.drop("component"), groups)
     member = texts.join(groups.toDF("digest", "component"), "digest", "left").select("digest", "node", F.coalesce("component", "digest").alias("component"))
     member = written(member, "member")
     keep = member.groupBy("component").agg(F.min(F.struct("node", "digest")).alias("best"))
