@@ -43,3 +43,15 @@ def test_block_append_and_cut_edits(spark, monkeypatch, common):
         texts += [a, a[:i] + new(n) + a[i + n :], a + new(2 * n), a[: 300 - 2 * n]]
     want = _removed(texts)
     assert len(want) > 30 and _found(spark, texts) == want
+
+
+def test_large_group_whose_closest_texts_fall_short(spark):
+    """A group that hangs together by Jaccard, though not along the least Hamming distances of its fingerprints."""
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{i}" for i in rng.integers(0, 20_000, 400)], []
+    for _ in range(250):
+        t = list(base)
+        for p in rng.choice(400, int(rng.integers(1, 15)), replace=False):
+            t[p] = f"e{rng.integers(10**6)}"
+        texts.append(t)
+    assert _found(spark, texts) == _removed(texts)
