@@ -55,7 +55,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids go to wavelet matrix shards; a row for each document, read back from them."""
-    return token_table(docs, TOKENIZER, end_id=0)
+    return token_table(docs, TOKENIZER, end_id=0, added=True)
 
 
 STAGES = [("quality classifier", quality), ("simhash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("mixing to target weights", mixing), ("token ids", tokens)]

@@ -39,7 +39,7 @@ def op5_token_id_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from shelfmark.llm.tokenbin import token_table
 
-    return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added=True)
 
 
 @query(

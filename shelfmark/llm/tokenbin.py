@@ -66,13 +66,15 @@ class Encoder:
     With a byte-level pre-tokenizer a space between two characters that aren't white space always begins a new piece,
     and so does the change from a letter to something else. Arrow cuts many texts at such spaces and numbers the
     distinct chunks, then cuts those at such changes and numbers the distinct pieces; only these reach the library's
-    model, behind a bounded memo. Strings of special tokens in a text are ordinary text.
+    model, behind a bounded memo. With `added`, texts that hold one of the tokenizer's added tokens go through the
+    library's encode, which gives those tokens their ids; else such strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         model, cut = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
 
         def make(s: str) -> tuple[int, ...]:
@@ -107,6 +109,18 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, one after the other, and the number of each text. Null: none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        held = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            held |= np.asarray(pc.match_substring(texts, token))
+        if not held.any():
+            return self._plain(texts)
+        ids, sizes = self._plain(texts.filter(pa.array(~held)))
+        runs = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+        own = (np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t in texts.filter(pa.array(held)).to_pylist())
+        parts = [next(own if h else runs) for h in held]
+        return np.concatenate(parts).astype(np.uint32), np.array(list(map(len, parts)), dtype=np.int64)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         odd = np.asarray(pc.match_substring_regex(texts, _ODD))
@@ -131,14 +145,14 @@ class Encoder:
         return out, total[last] - total[last - counts]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 def _bites(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
@@ -153,13 +167,13 @@ def _bites(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]
                 yield ids[a:b].to_pylist(), texts[a:b]
 
 
-def _write(folder: str, tokenizer: str, end_id: int, most: int):
+def _write(folder: str, tokenizer: str, end_id: int, most: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
         store, root = FileSystem.from_uri(folder)
-        encode, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer, added), TaskContext.get().partitionId(), 0
         docs: list = []
         held: list[np.ndarray] = []
         lengths: list[int] = []
@@ -217,18 +231,19 @@ def _read(folder: str):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> tuple[str, DataFrame]:
     """Encodes every whole text (null: empty), puts end_id after it and writes shards in ascending order of the ids.
 
     Returns the folder and its manifest: path, part, seq, first_id, docs, tokens, bytes. Ids may be null (they come
     first) or repeat; other columns are ignored. A task that runs again writes files of other names, and only files in
     the manifest count, so a lost executor leaves nothing wrong. `tokenizer` is a path that every executor has.
+    `added`: strings of its added tokens get those tokens' ids, as by the library's default.
     """
     folder = new_path(docs.sparkSession, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     laid = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     kind = "path string, part int, seq int, first_id long, docs long, tokens long, bytes long"
-    made = laid.mapInArrow(_write(folder, tokenizer, end_id, shard_tokens), kind)
+    made = laid.mapInArrow(_write(folder, tokenizer, end_id, shard_tokens, added), kind)
     return folder, written(made, "manifest")
 
 
@@ -238,9 +253,9 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
     return by_file(placed.select("path", "offset")).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
     """Writes shards and reads them back: doc_id, start (ids before it), n_tokens (with end_id), ids_crc32 (as '<u4').
 
     Rows with equal doc_id follow one another in no fixed order. An empty table gives an empty result.
     """
-    return read_shards(*write_shards(docs, tokenizer, end_id))
+    return read_shards(*write_shards(docs, tokenizer, end_id, added=added))

@@ -55,3 +55,33 @@ def test_large_group_whose_closest_texts_fall_short(spark):
             t[p] = f"e{rng.integers(10**6)}"
         texts.append(t)
     assert _found(spark, texts) == _removed(texts)
+
+
+def test_added_tokens_as_the_library(spark):
+    """At its defaults the library gives added tokens in a text their ids."""
+    import zlib
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from shelfmark.llm.queries import QUERIES
+
+    file = path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    texts = ["a <|endoftext|> b", "plain words", None, "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  z", "<|endoftext|", "", "last one"]
+    folder = tmp_table(spark, [(i, t) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in QUERIES["op5_token_id_binary"](spark, folder).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())), t
+        start += len(ids)
+
+
+def tmp_table(spark, rows):
+    """A folder of its own that has these documents."""
+    from shelfmark.llm.common import new_path
+
+    folder = new_path(spark, "advice")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
