@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import small, written
-from shelfmark.llm.decontam import clean
+from shelfmark.llm.decontam import contaminated
 from shelfmark.llm.mixing import mix
 from shelfmark.llm.quality import classify
 from shelfmark.llm.simhash import duplicate_rows
@@ -41,8 +41,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.8, width=5)
+    """Documents that hold a benchmark item go; each is judged by its own text, whatever else has its id."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = contaminated(docs.select(_digest().alias("doc_id"), "text"), items, threshold=0.8, width=5)
+    leaks = small(written(leaks.select(F.col("doc_id").alias("_leak")).distinct(), "leaks"))
+    return docs.join(leaks, _digest() == leaks["_leak"], "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,15 @@ def tmp_table(spark, rows):
     folder = new_path(spark, "advice")
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     return folder
+
+
+def test_decontamination_judges_rows_by_their_own_text(spark):
+    import corpus_pipeline
+    from shelfmark.llm.common import new_path
+
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, f"before {item} after"), (None, "a clean text of some words"), (3, "one two three four five six seven"), (3, "four five six seven eight nine ten"), (4, None), (5, item)]
+    folder = new_path(spark, "advice")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:5], key=str)
