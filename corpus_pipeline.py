@@ -34,10 +34,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id. Null ids stay."""
-    kept = without(docs, duplicate_rows(docs))
-    twice = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates stays: that of the smallest doc_id, a null one if all are."""
+    kept = without(docs, duplicate_rows(docs, nulls=True))
+    twice = written(kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
+    if twice.isEmpty():
+        return kept
+    repeated, twice = kept.doc_id.eqNullSafe(F.col("_id")), small(twice)
+    return kept.join(twice, repeated, "left_anti").unionByName(kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -261,17 +261,18 @@ def _all_pairs(crossing: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, "h").where((F.col("a_component") != F.col("b_component")) & near).select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
 
 
-def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42, 1), radius: int = 5, verify: int = 5, similarity: float = 0.8) -> DataFrame:
+def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42, 1), radius: int = 5, verify: int = 5, similarity: float = 0.8, nulls: bool = False) -> DataFrame:
     """(doc_id, digest) of all texts but one of each group of near-duplicates; digest is xxhash64 of the text.
 
     Two texts are linked if the sets of their shingles of `verify` words have a Jaccard similarity of at least
     `similarity`; groups are what links connect, and the text of the smallest doc_id stays. The byte-position index over
     fingerprints of several seeds joins most copies at little cost. What it can't guarantee comes from an exact prefix
     join of the shingles: CHAINS times neighbours in its lists are verified, to join large groups by few links, then all
-    pairs of different components that weren't. Equal texts are one node, with its smallest id. Texts with a null id
-    are never in the result, nor are texts without words unless they are equal.
+    pairs of different components that weren't. Equal texts are one node, with its smallest id. Texts
+    without words are never in the result unless they are equal, nor are texts with a null id unless `nulls`: then
+    they take part, and ids come before null.
     """
-    tagged = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    tagged = docs.where(F.lit(nulls) | F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     digest = F.xxhash64("text").alias("digest")
     texts = written(tagged.select("doc_id", digest).groupBy("digest").agg(F.min("doc_id").alias("node")), "texts")
     prints = [f"fp{i}" for i in range(len(seeds))]
@@ -308,7 +309,7 @@ def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42
             crossing = _crossing(crossing.drop("component"), groups)
     member = texts.join(groups.toDF("digest", "component"), "digest", "left").select("digest", "node", F.coalesce("component", "digest").alias("component"))
     member = written(member, "member")
-    keep = member.groupBy("component").agg(F.min(F.struct("node", "digest")).alias("best"))
+    keep = member.groupBy("component").agg(F.min(F.struct(F.col("node").isNull(), "node", "digest")).alias("best"))
     kept = member.join(keep, "component").select("digest", F.col("best.node").alias("stays"), F.col("best.digest").alias("as"))
     every = tagged.select("doc_id", digest)
-    return every.join(kept, "digest").where("doc_id <> stays or digest <> as").select("doc_id", "digest").distinct()
+    return every.join(kept, "digest").where("not (doc_id <=> stays) or digest <> as").select("doc_id", "digest").distinct()

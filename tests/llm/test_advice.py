@@ -97,3 +97,18 @@ def test_decontamination_judges_rows_by_their_own_text(spark):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     kept = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:5], key=str)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_null_ids_take_part_in_near_dedup(spark, repeated):
+    """Whether a row without an id stays depends on its own group, and not on ids elsewhere that repeat."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    new = lambda: " ".join(f"w{i}" for i in rng.integers(0, 20_000, 100))
+    a, b, c, d = new(), new(), new(), new()
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, b + " more"), (None, c), (2, d)] + [(2, d), (2, new())] * repeated
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    texts_b = [t for _, t in got if t in (b, b + " more")]
+    assert len(texts_b) == 1 and [x for x in got if x[1] not in (b, b + " more")] == sorted([(1, a), (None, c), (2, d), *rows[8:]], key=str)
