@@ -27,6 +27,8 @@ BLOCK = 2048
 CHUNK = 1 << 16
 #: Prefixes with the same shingle beyond which it is ordered behind all others; rounds that verify neighbours only.
 COMMON, CHAINS = 128, 2
+#: Orders in which neighbours are taken in a round.
+ORDERS = 4
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -244,8 +246,8 @@ def _pair(u, v) -> list:
 
 
 def _chained(crossing: DataFrame, turn: int) -> DataFrame:
-    """Links (u, v) of neighbours in each list, in an order that differs from list to list: as many as there are rows."""
-    along = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), "h", "node"), "node")
+    """Links (u, v) of neighbours in each list, in one of ORDERS orders: a few for each node, as most lists of a group agree."""
+    along = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), F.pmod("h", F.lit(ORDERS)), "node"), "node")
     after = crossing.withColumn("_v", F.lead("node").over(along)).withColumn("_c", F.lead("component").over(along))
     return after.where("_c <> component").select(*_pair(F.col("node"), F.col("_v"))).distinct()
 
