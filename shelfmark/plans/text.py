@@ -114,20 +114,31 @@ SELECT a, b, round(score, 9) AS score FROM r WHERE n = 1 AND score >= 0.86 AND s
 """
 
 
-@query(_FUZZY)
-def trigram_fuzzy_match(t: Tables) -> DataFrame:
+def _fuzzy(t: Tables, incoming: str) -> DataFrame:
     """Blocking by shared trigrams: pairs are counted in a join of grams, never as a cross join of titles."""
     from pyspark.sql import Window
 
     grams = lambda d: d.withColumn("g", F.explode(fn.grams(F.col("k"), 3, "  "))).withColumn("n", F.size(fn.grams(F.col("k"), 3, "  ")))
     w = grams(t.part.where("p_partkey % 2 = 0").select(F.lower("p_name").alias("k")).distinct()).select(F.col("k").alias("b"), "g", F.col("n").alias("nb"))
-    i = grams(t.part.where("p_partkey % 10 = 1").select(F.lower("p_name").alias("k")).distinct()).select(F.col("k").alias("a"), "g", F.col("n").alias("na"))
+    i = grams(t.part.where(incoming).select(F.lower("p_name").alias("k")).distinct()).select(F.col("k").alias("a"), "g", F.col("n").alias("na"))
     s = i.join(w, "g").groupBy("a", "b", "na", "nb").count().withColumn("score", 2.0 * F.col("count") / (F.col("na") + F.col("nb")))
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     best = s.withColumn("n", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("n = 1")
     return best.where((F.col("score") >= 0.86) & (F.col("score") - F.coalesce("second", F.lit(0.0)) >= 0.04)).select("a", "b", F.round("score", 9).alias("score"))
 
 
+@query(_FUZZY)
+def trigram_fuzzy_match(t: Tables) -> DataFrame:
+    """Items are the parts of the SQL's filter; trigram_fuzzy_match_all takes all."""
+    return _fuzzy(t, "p_partkey % 10 = 1")
+
+
+@query()
+def trigram_fuzzy_match_all(t: Tables) -> DataFrame:
+    """All incoming items (odd keys) against all works (even keys). SQL would need a cross product of titles."""
+    return _fuzzy(t, "p_partkey % 2 = 1")
+
+
 @query("SELECT lower(p_name) AS title, count(*) AS works, array_to_string(list_sort(list(p_partkey)), ',') AS members, CASE WHEN count(DISTINCT p_brand) = 1 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM part GROUP BY lower(p_name) HAVING count(*) > 1")
 def duplicate_groups(t: Tables) -> DataFrame:
     g = t.part.groupBy(F.lower("p_name").alias("title")).agg(F.count("*").alias("works"), F.array_sort(F.collect_set("p_partkey")).alias("m"), F.count_distinct("p_brand").alias("brands")).where("works > 1")
