@@ -15,7 +15,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import small, written
@@ -245,22 +245,27 @@ def _pair(u, v) -> list:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
-def _chained(crossing: DataFrame, turn: int) -> DataFrame:
+def _chained(crossing: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Links (u, v) of neighbours in each list, in one of ORDERS orders: a few for each node, as most lists of a group agree."""
     along = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), F.pmod("h", F.lit(ORDERS)), "node"), "node")
-    after = crossing.withColumn("_v", F.lead("node").over(along)).withColumn("_c", F.lead("component").over(along))
-    return after.where("_c <> component").select(*_pair(F.col("node"), F.col("_v"))).distinct()
+    kept = ("node", "n", "i", "component")
+    after = crossing.select("h", *kept, *(F.lead(c).over(along).alias(f"b_{c}") for c in kept)).withColumnsRenamed({c: f"a_{c}" for c in kept})
+    return after.where((F.col("a_component") != F.col("b_component")) & _can(similarity)).select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
+
+
+def _can(similarity: float) -> Column:
+    """Whether sets a and b that meet at their places can be similar: no more than the lesser rest is shared behind them."""
+    least = F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
+    return (F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-9) & (most >= least)
 
 
 def _all_pairs(crossing: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) of all pairs of two components that meet in a list and can be similar by their sizes and places."""
     a = crossing.select("h", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "i", "component")))
     b = crossing.select("h", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "i", "component")))
-    least = F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-9
-    most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
-    near = smaller & (F.col("a_n") >= F.lit(similarity) * F.col("b_n") - 1e-9) & (most >= least)
-    return a.join(b, "h").where((F.col("a_component") != F.col("b_component")) & near).select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
+    other = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+    return a.join(b, "h").where(other & _can(similarity)).select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
 
 
 def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42, 1), radius: int = 5, verify: int = 5, similarity: float = 0.8, nulls: bool = False) -> DataFrame:
@@ -287,11 +292,11 @@ def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42
     links = written(links.select(*_pair(F.col("u"), F.col("v"))).distinct(), "links")
     texts_of = tagged.select(digest.alias("node"), "text")
     listed = _meeting(texts_of, verify, similarity)
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).union(listed.select("node")).distinct()
-    held = texts_of.join(small(written(ends, "linked")), "node", "left_semi")
-    sets = written(held.mapInArrow(lambda b: _sets(b, verify), "node long, s array<long>").dropDuplicates(["node"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        ends = small(written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "linked"))
+        held = texts_of.join(ends, "node", "left_semi")
+        sets = written(held.mapInArrow(lambda b: _sets(b, verify), "node long, s array<long>").dropDuplicates(["node"]), "sets")
         both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
         common = F.size(F.array_intersect("a", "b"))
         return written(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "alike")
@@ -303,7 +308,7 @@ def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42
     for turn in range(CHAINS + 1):
         if crossing.isEmpty():
             break
-        pairs = _chained(crossing, turn) if turn < CHAINS else _all_pairs(crossing, similarity)
+        pairs = _chained(crossing, turn, similarity) if turn < CHAINS else _all_pairs(crossing, similarity)
         pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         alike, tried = alike.union(verified(pairs)), tried.union(pairs)
         groups = components(alike)
