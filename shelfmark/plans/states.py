@@ -73,6 +73,23 @@ SELECT source, work, CASE WHEN m.at IS NULL AND p_size % 5 = 0 THEN 'DEFERRED' W
 FROM pairs LEFT JOIN m ON l_suppkey = source AND l_partkey = work""")
 
 
+@query()
+def mapping_states(t: Tables) -> DataFrame:
+    """State of every stored mapping (source, work), by the rules of coverage_matrix."""
+    m = t.lineitem.groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("work")).agg(F.max("l_shipdate").alias("at"), F.bool_or(F.col("l_returnflag") == "R").alias("failed"))
+    now = t.lineitem.agg(F.max("l_shipdate").alias("now"))
+    stale = F.col("at") < F.col("now") - F.expr("INTERVAL 700 DAY")
+    return m.crossJoin(F.broadcast(now)).select("source", "work", F.when(F.col("failed"), "FAILED").when(stale, "STALE").otherwise("MAPPED").alias("state"))
+
+
+@query()
+def uncovered_pairs(t: Tables) -> DataFrame:
+    """All works (customers) and sources (suppliers) without a mapping: no row cap on either side."""
+    covered = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("work"), F.col("l_suppkey").alias("source")).distinct()
+    every = t.customer.select(F.col("c_custkey").alias("work")).crossJoin(t.supplier.select(F.col("s_suppkey").alias("source")))
+    return every.join(covered, ["work", "source"], "left_anti")
+
+
 @query("SELECT doc_id, ok AS matched FROM (SELECT conv_id AS doc_id, count(*) FILTER (WHERE n_chars > 100) = len(list(turn)) AS ok FROM conversations LEFT JOIN documents ON doc_id = turn + conv_id GROUP BY conv_id)")
 def array_count_match(t: Tables) -> DataFrame:
     """Whether as many valid partners are found as the array has elements."""

@@ -1,7 +1,5 @@
 """What the review of round 1 found missing in the library's queries, against brute force."""
 
-import pytest
-
 from shelfmark.plans.registry import QUERIES, load
 
 load()
@@ -23,3 +21,21 @@ def test_fuzzy_match_takes_all_odd_keys(spark, tmp_path):
             want.add((names[k], scores[0][1], round(scores[0][0], 9)))
     got = {tuple(r) for r in QUERIES["trigram_fuzzy_match_all"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 3
+
+
+def test_coverage_has_no_caps(spark):
+    """On the smallest tables: every mapping has a state, every pair without one is found."""
+    from oracle import connect
+
+    sf = "/root/testdata/sf0.001"
+    duck = connect(sf)
+    states = {(r.source, r.work): r.state for r in QUERIES["mapping_states"](spark, sf).collect()}
+    assert set(states) == set(duck.sql("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem").fetchall())
+    capped = {(r.source, r.work): r.state for r in QUERIES["coverage_matrix"](spark, sf).collect()}
+    both = capped.keys() & states.keys()
+    assert len(states) > len(both) > 0 and all(capped[k] == states[k] for k in both)
+    assert {k for k, v in capped.items() if v in ("FAILED", "STALE", "MAPPED")} == both
+    works, sources = ({k for (k,) in duck.sql(f"SELECT {c} FROM {t}").fetchall()} for c, t in (("c_custkey", "customer"), ("s_suppkey", "supplier")))
+    covered = set(duck.sql("SELECT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall())
+    got = [tuple(r) for r in QUERIES["uncovered_pairs"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(w, s) for w in works for s in sources} - covered
