@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,15 +31,17 @@ class Memo:
     def __init__(self, make, most: int = MEMO):
         self.make, self.most, self.young, self.old = make, most, {}, {}
 
-    def __call__(self, key: str):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = self.make(key)
-            self.young[key] = found
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
+    def __call__(self, keys: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, keys))
+        for i, known in enumerate(found):
+            if known is None:
+                key = keys[i]
+                known = self.old.get(key)
+                if known is None:
+                    known = self.make(key)
+                self.young[key] = found[i] = known
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
         return found
 
 
@@ -66,43 +69,58 @@ class Encoder:
     With a byte-level pre-tokenizer a space between two characters that aren't white space always begins a new piece,
     and so does the change from a letter to something else. Arrow cuts many texts at such spaces and numbers the
     distinct chunks, then cuts those at such changes and numbers the distinct pieces; only these reach the library's
-    model, behind a bounded memo. With `added`, texts that hold one of the tokenizer's added tokens go through the
-    library's encode, which gives those tokens their ids; else such strings are ordinary text.
+    model, behind a bounded memo. With `added`, the library's default, texts that hold one of the tokenizer's added
+    tokens go through the library's encode, which gives those tokens their ids; else such strings are ordinary text.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         model, cut = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
 
-        def make(s: str) -> tuple[int, ...]:
+        tokenize, space = model.tokenize, chr(_LETTERS[32])
+
+        def make(s: str) -> bytes:
             word = s[1:] if s[:1] == " " else s
-            if word.isalpha() and max(word) < "\u0250":  # Latin letters are one piece
-                return tuple(t.id for t in model.tokenize(s.encode().decode("latin-1").translate(_LETTERS)))
-            return tuple(t.id for p, _ in cut(s) for t in model.tokenize(p))
+            if word.isalpha():  # Latin letters are one piece
+                if word.isascii():
+                    return array("I", [t.id for t in tokenize(word if word is s else space + word)]).tobytes()
+                if max(word) < "\u0250":
+                    return array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+            return array("I", [t.id for p, _ in cut(s) for t in tokenize(p)]).tobytes()
 
-        self.piece = Memo(make)
+        self.pieces = Memo(make)
 
     def _chunks(self, keys: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, and the number of each; spaced: which have a space before them."""
-        whole = pc.match_substring(keys, "\0")
-        parts = keys
+        letters = np.asarray(pc.utf8_is_alpha(keys))  # these have no change to be cut at
+        mixed = keys.filter(pa.array(~letters))
+        whole = pc.match_substring(mixed, "\0")
+        parts = mixed
         for what, to in _CUTS:
             parts = pc.replace_substring_regex(parts, what, to)
         parts = pc.split_pattern(parts, "\0")
         if pc.any(whole).as_py():  # the separator's own character occurs: such chunks stay whole
-            parts = pa.array([[k] if w else p for k, w, p in zip(keys.to_pylist(), whole.to_pylist(), parts.to_pylist(), strict=True)], pa.large_list(pa.large_string()))
-        counts = np.asarray(pc.list_value_length(parts)).astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices).astype(np.int64) * 2
+            parts = pa.array([[k] if w else p for k, w, p in zip(mixed.to_pylist(), whole.to_pylist(), parts.to_pylist(), strict=True)], pa.large_list(pa.large_string()))
+        counts = np.ones(len(keys), dtype=np.int64)
+        counts[~letters] = np.asarray(pc.list_value_length(parts))
+        coded = pa.concat_arrays([keys.filter(pa.array(letters)), parts.flatten()]).dictionary_encode()
+        found = np.asarray(coded.indices)
+        alone = np.zeros(int(counts.sum()), dtype=bool)
+        alone[(np.cumsum(counts) - counts)[letters]] = True
+        codes = np.empty(len(alone), dtype=np.int64)
+        codes[alone], codes[~alone] = np.split(found * 2, [int(letters.sum())])
         codes[(np.cumsum(counts) - counts)[spaced]] += 1
-        used, codes = np.unique(codes, return_inverse=True)
-        names, piece = coded.dictionary.to_pylist(), self.piece
-        ids = [piece(" " + names[k >> 1] if k & 1 else names[k >> 1]) for k in used.tolist()]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat, n = _spread(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes, codes)
+        seen = np.zeros(2 * len(coded.dictionary), dtype=bool)
+        seen[codes] = True
+        used = np.flatnonzero(seen)
+        codes = (np.cumsum(seen, dtype=np.int32) - 1)[codes]
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self.pieces([" " + names[k >> 1] if k & 1 else names[k >> 1] for k in used.tolist()])
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, n = _spread(np.frombuffer(b"".join(ids), dtype=np.uint32), sizes, codes)
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(ends)
 
@@ -148,7 +166,7 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, added: bool = False) -> Encoder:
+def encoder(path: str, added: bool = True) -> Encoder:
     """This process's encoder for a tokenizer file."""
     if (path, added) not in _encoders:
         _encoders[path, added] = Encoder(path, added)
@@ -231,7 +249,7 @@ def _read(folder: str):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> tuple[str, DataFrame]:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", added: bool = True) -> tuple[str, DataFrame]:
     """Encodes every whole text (null: empty), puts end_id after it and writes shards in ascending order of the ids.
 
     Returns the folder and its manifest: path, part, seq, first_id, docs, tokens, bytes. Ids may be null (they come
@@ -241,7 +259,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens:
     """
     folder = new_path(docs.sparkSession, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    laid = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # a crowd of rows with one id is several ranges
+    laid = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     kind = "path string, part int, seq int, first_id long, docs long, tokens long, bytes long"
     made = laid.mapInArrow(_write(folder, tokenizer, end_id, shard_tokens, added), kind)
     return folder, written(made, "manifest")
@@ -253,9 +272,9 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
     return by_file(placed.select("path", "offset")).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0, added: bool = True) -> DataFrame:
     """Writes shards and reads them back: doc_id, start (ids before it), n_tokens (with end_id), ids_crc32 (as '<u4').
 
-    Rows with equal doc_id follow one another in no fixed order. An empty table gives an empty result.
+    Rows with equal doc_id follow one another by a hash of their text. An empty table gives an empty result.
     """
     return read_shards(*write_shards(docs, tokenizer, end_id, added=added))

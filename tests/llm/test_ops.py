@@ -120,7 +120,6 @@ def test_tokens(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     odd = [(20, "a.\n\nNext b\nC d.\n\n\tX"), (21, "it's 9a a9 ''s"), (22, "a \x1c b\x85 c　 d"), (23, "  lead trail "), (24, "<|endoftext|> x\0y \0"), (25, "日本 語 12 34\r\nZ")]
     texts = [x for x in TEXTS if x[0] != 6] + odd
     got = {r.doc_id: r for r in tokenbin.token_table(docs(spark, texts), path("byte_bpe_50k.json")).collect()}
