@@ -24,13 +24,13 @@ def segments_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, action, op, at) to (list, key, action, since, until): until is null while an entry is active.
 
-    An add holds until the next entry of its list, key and action; at one instant a remove wins. Entries with a null
-    key, action, op or time are ignored; repeated ones change nothing.
+    An add holds until the next entry of its list, key and action; at one instant a remove wins. Keys are the same in any
+    case. Entries with a null key, action, op or time are ignored; repeated ones change nothing.
     """
-    sound = entries.where("key is not null and action is not null and op is not null and at is not null").distinct()
+    sound = entries.where("key is not null and action is not null and op is not null and at is not null").select("list", F.lower("key").alias("key"), "action", "op", "at").distinct()
     order = Window.partitionBy("list", "key", "action").orderBy("at", "op")  # add before remove
     held = sound.withColumn("until", F.lead("at").over(order)).where("op = 'add' and (until is null or until > at)")
-    return held.select("list", F.lower("key").alias("key"), "action", F.col("at").alias("since"), "until")
+    return held.select("list", "key", "action", F.col("at").alias("since"), "until")
 
 
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched", id_col: str = "page_id") -> DataFrame:
@@ -53,11 +53,13 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     hosts = F.transform(F.sequence(F.lit(1), F.lit(max(1, labels))), lambda i: F.call_function("substring_index", F.col("_h"), F.lit("."), -i))
     paths = F.transform(F.sequence(F.lit(1), F.lit(max(1, deepest))), lambda i: F.when(i <= F.size("_s"), F.concat(F.col("_h"), F.lit("/"), F.array_join(F.slice("_s", F.lit(1), i), "/"))))
     keys = F.when(F.col("url").isNotNull() & (F.col("_h") != ""), F.array_distinct(F.concat(hosts, F.filter(F.transform(paths, F.lower), lambda k: k.isNotNull()))))
-    keyed = parts.select("id", "url", "fetched", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(keys, F.array().cast("array<string>")))).alias("k"), day(F.col("fetched")).alias("b"))
+    # a first key that no list has keeps every capture, and goes where its own hash says
+    own = F.concat(F.lit("\0"), F.xxhash64("id", "url", "fetched").cast("string"))
+    keyed = parts.select("id", "url", "fetched", F.posexplode(F.concat(F.array(own), F.coalesce(keys, F.array().cast("array<string>")))).alias("i", "k"), day(F.col("fetched")).alias("b"))
     known = small(held)
     on = (keyed.k == known.key) & (keyed.b == known.bucket) & (known.since <= keyed.fetched) & (known.until.isNull() | (known.until > keyed.fetched))
     depth = F.when(F.contains(F.col("key"), F.lit("/")), 1000 + F.size(F.split("key", "/"))).otherwise(F.size(F.split("key", r"\.")))
     hit = F.when(F.col("key").isNotNull(), F.struct((-depth).alias("depth"), "action", F.col("list"), F.col("key")))  # 'allow' < 'block'
-    met = keyed.join(known, on, "left").groupBy("id", "url", "fetched").agg(F.min(hit).alias("hit"), F.count(F.when(F.col("k").isNull(), 1)).alias("times"))
+    met = keyed.join(known, on, "left").groupBy("id", "url", "fetched").agg(F.min(hit).alias("hit"), F.count(F.when(F.col("i") == 0, 1)).alias("times"))
     rows = met.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.col("fetched").alias(time_col), F.coalesce("hit.action", F.lit("allow")).alias("verdict"), "hit.list", "hit.key")
