@@ -1,9 +1,12 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of what they don't know.
 
-Base matches are the seeds. The words before a match are its lexical pattern; patterns and instances (matches and
+Base matches are the seeds. The two words before a match are its lexical pattern; patterns and instances (matches and
 other tokens that look like identifiers) form a graph, on which confidence goes back and forth: a pattern is as good
 as the instances it introduces, an instance as the patterns that introduce it. Patterns that stay good and have enough
 different instances mark the tokens they introduce as personal data too.
+
+Words are runs of characters other than white space and the punctuation of BREAK. A run with a digit, @ or + is found as
+such, so that what comes before it in the text is known from the runs and gaps before it, for seeds and tokens alike.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens that may be identifiers: a digit or @ in five characters or more, without the punctuation round them.
-TOKEN = r"(?<![^\s\"'<>()\[\]{},;])(?=[^\s\"'<>()\[\]{},;]{5})[^\s\"'<>()\[\]{},;0-9@]*+[0-9@][^\s\"'<>()\[\]{},;]*+"
-#: Characters before a match in which its pattern is looked for; words of a pattern.
-CONTEXT = 80
+# What parts words, as a regex class.
+BREAK = r"\s\"'<>()\[\]{},;"
+#: Runs in which a base match may begin; those with a digit or @ and five characters or more may be identifiers.
+RUN = rf"(?<![^{BREAK}])[^{BREAK}0-9@+]*+[0-9@+][^{BREAK}]*+"
 
 
 def _checked(kind: Column, m: Column) -> Column:
@@ -42,16 +45,23 @@ def _checked(kind: Column, m: Column) -> Column:
 
 
 def _found(text: Column, kind: str, pattern: str) -> Column:
-    """Matches of a pattern, leftmost and non-overlapping: kind, match, characters before it since the last, context."""
+    """Matches of a pattern, leftmost and non-overlapping: kind, match, characters before it since the last; for runs
+    the last two words of these, too."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    return F.transform(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda z: F.struct(F.lit(kind).alias("kind"), z["m"].alias("m"), F.length(z["g"]).alias("gap"), F.right(z["g"], F.lit(CONTEXT)).alias("context")))
+    none = F.array().cast("array<string>")
+    last = lambda g: _last(F.filter(F.split(F.lower(g), f"[{BREAK}]+"), lambda w: w != ""))
+    return F.transform(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda z: F.struct(F.lit(kind).alias("kind"), z["m"].alias("m"), F.length(z["g"]).alias("gap"), (last(z["g"]) if kind == "run" else none).alias("words")))
+
+
+def _last(words: Column) -> Column:
+    """The last two words of some."""
+    return F.slice(words, F.greatest(F.lit(1), F.size(words) - 1), F.lit(2))
 
 
-def _pattern(context: Column) -> Column:
-    """The last two words before a match in lower case, digits as 0; null without any."""
-    words = F.regexp_extract(F.lower(context), r"((?:\S+\s+)?\S+)\s*+[\"'<(\[{]*+\s*+$", 1)
-    return F.nullif(F.regexp_replace(F.regexp_replace(words, r"\s+", " "), "[0-9]+", "0"), F.lit(""))
+def _pattern(words: Column) -> Column:
+    """The words before a match in lower case, digits as 0; null without any."""
+    return F.nullif(F.regexp_replace(F.array_join(words, " "), "[0-9]+", "0"), F.lit(""))
 
 
 def discover(edges: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
@@ -83,21 +93,31 @@ def scan(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float =
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("any", F.col("text").rlike("[0-9@]"))
-    some = rows.where("any").select("doc_id", F.monotonically_increasing_id().alias("rid"), F.concat(*(_found(F.col("text"), k, p) for k, p in (PATTERNS | {"token": TOKEN}).items())).alias("f"))
+    some = rows.where("any").select("doc_id", F.monotonically_increasing_id().alias("rid"), F.concat(*(_found(F.col("text"), k, p) for k, p in (PATTERNS | {"run": RUN}).items())).alias("f"))
     kept = written(some, "found")  # what is written keeps its rid
     each = kept.select("rid", F.posexplode("f").alias("i", "x")).select("rid", "i", "x.*")
     before = Window.partitionBy("rid", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("m")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("m"))
-    sound = placed.where((F.col("kind") == "token") | _checked(F.col("kind"), F.col("m")))
+    word = lambda n: F.array(F.lower(F.lag("m", n).over(before)))
+    prior = F.concat(word(2), F.coalesce(F.lag("words").over(before), F.array().cast("array<string>")), word(1), "words")
+    run = F.col("kind") == "run"
+    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("m")).withColumn("words", F.when(run, _last(F.filter(prior, lambda w: w.isNotNull()))))
+    sound = placed.where(run | _checked(F.col("kind"), F.col("m")))
+    # a base match begins in the last run that begins no later: what the run has before it is a word of its context
+    base_end, base_start = F.when(~run, F.col("end")), F.when(~run, F.col("start"))
+    order = Window.partitionBy("rid").orderBy("start", F.when(run, 0).otherwise(1), F.desc("end"), "kind")
+    # frames that only grow, as those to the end of a window take quadratic time
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), F.when(run, 1).otherwise(0), "end", F.desc("kind"))
+    so_far, ahead = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (order, back))
+    its = F.last(F.when(run, F.struct("start", "m", "words")), ignorenulls=True).over(so_far)
+    near = sound.withColumn("left", F.max(base_end).over(so_far)).withColumn("right", F.min(base_start).over(ahead)).withColumn("in", its)
+    part = F.substring(F.lower("in.m"), F.lit(1), F.col("start") - F.col("in.start"))
+    context = F.when(part == "", F.col("in.words")).otherwise(_last(F.concat("in.words", F.array(part))))
     # tokens lose their last punctuation, and those that touch a base span are part of it
-    cut = F.when(F.col("kind") == "token", F.regexp_replace("m", r"[.,:!?%#*&$|-]+$", "")).otherwise(F.col("m"))
-    trimmed = sound.withColumn("m", cut).withColumn("end", F.col("start") + F.length("m")).where(F.length("m") >= 5)
-    base_end, base_start = F.when(F.col("kind") != "token", F.col("end")), F.when(F.col("kind") != "token", F.col("start"))
-    order = Window.partitionBy("rid").orderBy("start", F.desc("end"), "kind")
-    near = trimmed.withColumn("left", F.max(base_end).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("right", F.min(base_start).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    clear = (F.coalesce("left", F.lit(0)) <= F.col("start")) & (F.coalesce("right", F.col("end")) >= F.col("end"))
-    spans = written(near.where((F.col("kind") != "token") | clear).select("rid", "kind", "start", "end", _pattern(F.col("context")).alias("pattern"), F.lower("m").alias("instance")), "spans")
+    cut = F.when(run, F.regexp_replace("m", r"[.,:!?%#*&$|-]+$", "")).otherwise(F.col("m"))
+    trimmed = near.withColumn("pattern", _pattern(context)).withColumn("kind", F.when(run, "token").otherwise(F.col("kind"))).withColumn("m", cut).withColumn("end", F.col("start") + F.length("m")).where(F.length("m") >= 5)
+    clear = (F.coalesce("left", F.lit(0)) <= F.col("start")) & (F.coalesce("right", F.col("end")) >= F.col("end")) & F.col("m").rlike("[0-9@]")
+    spans = written(trimmed.where((F.col("kind") != "token") | clear).select("rid", "kind", "start", "end", "pattern", F.lower("m").alias("instance")), "spans")
     seed = F.when(F.col("kind") != "token", F.col("kind"))
     edges = written(spans.where("pattern is not null").groupBy("pattern", "instance").agg(F.max(seed).alias("seed")), "edges")
     trusted = small(written(discover(edges, rounds, support, confidence).withColumnRenamed("kind", "as"), "trusted"))
