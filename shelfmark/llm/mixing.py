@@ -55,15 +55,15 @@ def apportion(cells: DataFrame, goal: str, seats: int) -> DataFrame:
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 1, block: int = BLOCK, shard: int = SHARD, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies of every row.
 
-    size: words of the text (null: 0). A source's rows are dealt into shards by a seeded hash of doc_id, and laid in a
-    ring in the order of that hash. The mix takes a shard's quota of blocks from a seeded block on, round and round, so
+    size: words of the text (null: 0). A source's rows are dealt into shards by a seeded hash of doc_id and text, so
+    that rows without an id or with one id are dealt out too, and laid in a ring in the order of that hash. The mix takes a shard's quota of blocks from a seeded block on, round and round, so
     every block is taken equally often, give or take one, and never over `most` times. taken: the words of the row so
-    taken; copies: how often its middle word is, for those who mix whole rows. Rows with equal doc_id, source and size
+    taken; copies: how often its middle word is, for those who mix whole rows. Rows with equal doc_id, source and text
     are alike; null ids and sources are values of their own. Nothing depends on partitions, so reruns agree.
     Columns in `carry` go along.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
     sized = written(docs.select("doc_id", *carry, "source", size.alias("size"), order.alias("h")), "sized")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     shards = F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("rows") * ROW) / shard)).alias("shards")

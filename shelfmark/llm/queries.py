@@ -80,7 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""
     WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                     md5('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+                     md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
     sums AS (SELECT source, sum(size)::BIGINT AS source_size, greatest(1, ceil((sum(size) + count(*) * 16) / 262144))::BIGINT AS shards FROM sized GROUP BY source),
     w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sums),
     c AS (SELECT *, sid % 3 + 1 AS weight, source_size * 3 AS cap, (source_size * 3)::DOUBLE / (sid % 3 + 1) AS ratio FROM w),
@@ -113,8 +113,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
     i AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-    ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
     s AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+    ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+             FROM d, (SELECT DISTINCT least(len(w), 5) AS n FROM i WHERE len(w) > 0) WHERE len(w) >= n)),
     m AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY item_id)
     SELECT doc_id, x.item_id, shared, item_shingles, shared / item_shingles AS containment
     FROM (SELECT doc_id, s.item_id, count(*) AS shared FROM ds JOIN s USING (s) GROUP BY ALL) x JOIN m ON x.item_id IS NOT DISTINCT FROM m.item_id
@@ -179,7 +180,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    from shelfmark.llm.licenses import EQUIVALENT, LICENCES
+    from shelfmark.llm.licenses import DIGESTS, EQUIVALENT, LICENCES
 
     def canonical(lines: str) -> str:
         """SQL for the canonical text of a list of lines."""
@@ -190,13 +191,15 @@ def _license_sql() -> str:
         return t
 
     known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in LICENCES)
+    given = ", ".join(f"('{k}', '{d}')" for k, d in DIGESTS)
     return f"""
-    WITH known AS (SELECT sha256(c) AS digest, min(license) AS license FROM (SELECT license, {canonical("string_split(t, chr(10))")} AS c FROM (VALUES {known}) v(license, t)) GROUP BY 1),
-    d AS (SELECT doc_id, text, {canonical("string_split(text, chr(10))")} AS c FROM documents),
-    l AS (SELECT doc_id, {canonical("[line]")} AS c FROM (SELECT doc_id, unnest(string_split_regex(text, '[\\n\\r]+')) AS line FROM documents)),
-    n AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM l JOIN known ON sha256(l.c) = digest WHERE l.c <> '' GROUP BY doc_id)
+    WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({canonical("string_split(t, chr(10))")}) AS digest FROM (VALUES {known}) v(license, t) UNION ALL SELECT * FROM (VALUES {given})) GROUP BY 1),
+    b AS MATERIALIZED (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
+    d AS (SELECT doc_id, rid, {canonical("string_split_regex(text, '[\\n\\r]')")} AS c FROM b),
+    l AS (SELECT rid, {canonical("[line]")} AS c FROM (SELECT rid, unnest(string_split_regex(text, '[\\n\\r]+')) AS line FROM b)),
+    n AS (SELECT rid, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM l JOIN known ON sha256(l.c) = digest WHERE l.c <> '' GROUP BY rid)
     SELECT d.doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest, license, coalesce(notices, '') AS notices
-    FROM d LEFT JOIN known ON c <> '' AND sha256(c) = digest LEFT JOIN n ON d.doc_id IS NOT DISTINCT FROM n.doc_id
+    FROM d LEFT JOIN known ON c <> '' AND sha256(c) = digest LEFT JOIN n ON d.rid = n.rid
     """
 
 
