@@ -1,53 +1,15 @@
-"""Titles, identities and similarities as Columns; pandas functions only where Spark has no expression."""
+"""Texts as Columns: grams, aliases, scripts, HTML; pandas only where Spark has no expression (NFKC)."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words that say how a title was published, not what it is; words that carry no meaning.
-NOISE = ("scan", "scans", "manga", "manhwa", "manhua", "webtoon", "comic", "comics", "raw", "official", "colored")
-STOP = ("the", "a", "an", "of", "and", "or", "in", "on", "to", "for")
-FOLD = ("àáâãäåèéêëìíîïòóôõöùúûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
-
-
-def catalog_key(c: Column) -> Column:
-    """Lower case, accents folded over a fixed alphabet, anything else than letters and digits one space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), *FOLD), "[^a-z0-9]+", " "))
-
-
-@F.pandas_udf(T.StringType())
-def normalize_title(titles: pd.Series) -> pd.Series:
-    """NFKD without combining marks, lower case, no apostrophes, other signs to spaces, noise words out."""
-
-    def one(s):
-        if s is None:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFKD", s) if not "̀" <= c <= "ͯ")
-        plain = re.sub("['’ʼ`]", "", unicodedata.normalize("NFC", plain).lower())
-        words = "".join(c if c.isalpha() or c.isnumeric() else " " for c in plain).split()
-        return " ".join(w for w in words if w not in NOISE)
-
-    return titles.map(one)
-
-
-def significant_key(c: Column) -> Column:
-    """Sorted words that aren't stop words, null under two of them."""
-    words = F.array_sort(F.filter(F.split(catalog_key(c), " "), lambda w: ~w.isin(*STOP) & (w != "")))
-    return F.when(F.size(words) >= 2, F.array_join(words, " "))
-
-
-def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), *FOLD), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-
-
 def grams(c: Column, n: int, pad: str = "") -> Column:
     """Distinct runs of n characters of a padded text, empty if it is shorter."""
     s = F.concat(F.lit(pad), c, F.lit(pad)) if pad else c
@@ -61,114 +23,6 @@ def trigram_dice(a: Column, b: Column) -> Column:
     return 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
 
 
-def levenshtein_ratio(a: Column, b: Column) -> Column:
-    most = F.greatest(F.length(a), F.length(b))
-    return F.when(most == 0, 1.0).otherwise((most - F.levenshtein(a, b)) / most)
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Common words over all words; 0 if there are none."""
-    x, y = F.split(a, " "), F.split(b, " ")
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-
-
-def _dice(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    if a == b:
-        return 1.0
-    if len(a) < 2 or len(b) < 2:
-        return 0.0
-    x, y = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (a, b))
-    return 2 * sum((x & y).values()) / (len(a) + len(b) - 2)
-
-
-@F.pandas_udf(T.DoubleType())
-def dice_bigram(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Dice over multisets of bigrams: 1 for equal texts, 0 under two characters."""
-    return pd.Series([_dice(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def fuzzy_score(a: Column, b: Column) -> Column:
-    """0.45 Dice + 0.35 Levenshtein + 0.2 Jaccard; a substring with overlap of at least 0.75 has 0.88 at least."""
-    base = 0.45 * dice_bigram(a, b) + 0.35 * levenshtein_ratio(a, b) + 0.2 * jaccard(a, b)
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    inside = (F.contains(a, b) | F.contains(b, a)) & (short / long >= 0.75)
-    return F.when(inside, F.greatest(base, F.lit(0.88))).otherwise(base)
-
-
-def guards(title: Column) -> Column:
-    """What sets works of like titles apart: novel, season, side story, edition (struct of flags and the season)."""
-    t = F.lower(title)
-    season = F.coalesce(F.nullif(F.regexp_extract(t, r"\b(?:season|part|volume)\s+([0-9]+)", 1), F.lit("")), F.lit("1")).cast("int")
-    return F.struct(t.rlike(r"\b(novel|light novel)\b").alias("novel"), season.alias("season"), t.rlike(r"\b(side story|spin-?off|gaiden)\b").alias("side"), t.rlike(r"\b(remake|remastered|special edition|sequel)\b").alias("edition"))
-
-
-@F.pandas_udf(T.StructType([T.StructField("method", T.StringType()), T.StructField("confidence", T.DoubleType())]))
-def match_cascade(a: pd.Series, b: pd.Series, aliases: pd.Series) -> pd.DataFrame:
-    """How two titles match: exact, compact, significant words, alias, else fuzzy at 0.85 or more; guards come first."""
-
-    def key(s):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(c)).lower()
-        return " ".join(w for w in re.sub(r"[^\w]+|_", " ", plain).split() if w not in NOISE)
-
-    def apart(s):
-        s = (s or "").lower()
-        return ("novel" in s, (re.search(r"\b(?:season|part|volume)\s+([0-9]+)", s) or [0, "1"])[1], bool(re.search(r"side story|spin-?off|gaiden", s)))
-
-    def one(x, y, names):
-        p, q = key(x), key(y)
-        if apart(x) != apart(y):
-            return ("GUARDED", 0.0)
-        if not p or not q:
-            return ("NONE", 0.0)
-        if p == q:
-            return ("EXACT", 1.0)
-        if p.replace(" ", "") == q.replace(" ", ""):
-            return ("COMPACT", 0.98)
-        s, u = (sorted(w for w in k.split() if w not in STOP) for k in (p, q))
-        if len(s) >= 2 and s == u:
-            return ("SIGNIFICANT", 0.96)
-        if q in {key(n) for n in (names if names is not None else ())}:
-            return ("ALIAS_EXACT", 0.95)
-        words = set(p.split()), set(q.split())
-        most = max(len(p), len(q))
-        score = 0.45 * _dice(p, q) + 0.35 * (most - _distance(p, q)) / most + 0.2 * len(words[0] & words[1]) / len(words[0] | words[1])
-        return ("FUZZY", score) if score >= 0.85 else ("NONE", score)
-
-    return pd.DataFrame([one(*r) for r in zip(a, b, aliases, strict=True)], columns=["method", "confidence"])
-
-
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("key", "sort_key", "kind")]))
-def chapter_identity(labels: pd.Series, language: pd.Series, edition: pd.Series) -> pd.DataFrame:
-    """Canonical key `lang|edition|kind|number|title` and a key that sorts: 12.00 is 12, 12.10 isn't 12.1.
-
-    Numbers are text throughout. Regular chapters have no title in their key; specials have.
-    """
-
-    def one(label, lang, ed):
-        m = re.search(r"([0-9]+)(?:\.([0-9]+))?", label or "")
-        special = bool(re.search(r"(?i)special|extra|omake|prologue", label or "")) or m is None
-        whole, part = (m[1].lstrip("0") or "0", m[2] or "") if m else ("", "")
-        part = "" if not part.strip("0") else part
-        number = f"{whole}.{part}" if part else whole
-        enc = lambda s: quote(s or "", safe="!'()*-._~")
-        title = (label or "").strip().lower() if special else ""
-        kind = "special" if special else "regular"
-        return ("|".join([enc(lang), enc(ed or "default"), kind, number, enc(title)]), f"{'s' if special else 'n'}|{whole.zfill(12)}|1{part.ljust(11, '0')}|{part}", kind)
-
-    return pd.DataFrame([one(*r) for r in zip(labels, language, edition, strict=True)], columns=["key", "sort_key", "kind"])
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def merge_aliases(primary: pd.Series, aliases: pd.Series) -> pd.Series:
     """Aliases without the primary title, empty ones and repeats in other spelling (the first stays); 50 at most."""

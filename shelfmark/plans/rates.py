@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.operators import quantiles
 from shelfmark.plans.registry import Tables, query, sql
 
 
-def nearest_rank(values: str, p: float):
-    """sorted[min(n - 1, floor(n * p))] of a group's collected values; not an interpolated percentile."""
-    s = F.sort_array(F.collect_list(values))
-    return F.element_at(s, (F.least(F.size(s) - 1, F.floor(F.size(s) * F.lit(p))) + 1).cast("int"))
-
-
-_WINDOWS = ", ".join(f"count(*) FILTER (WHERE ts > z - INTERVAL {m} MINUTE) AS n{m}, round(count(*) FILTER (WHERE ts > z - INTERVAL {m} MINUTE) / {m}e0, 1) AS rate{m}" for m in (60, 300, 1440))
-sql("multi_window_rates", f"SELECT event_type, {_WINDOWS} FROM events CROSS JOIN (SELECT max(ts) AS z FROM events) x GROUP BY event_type")
+_VISIBLE = ", ".join(f"count(CASE WHEN ts >= z - INTERVAL {m} MINUTE THEN 1 END) AS visible_{m}" for m in (1, 5, 10, 30))
+_FRESH = ", ".join(f"count(CASE WHEN event_type = 'purchase' AND ts >= z - INTERVAL {m} MINUTE THEN 1 END) AS fresh_{m}" for m in (5, 30))
+# publications of the last 1, 5, 10 and 30 minutes at the end of every hour with events, fresh ones apart
+sql("multi_window_rates", f"""
+SELECT z, visible_1, visible_5, visible_10, visible_30, visible_1 AS rate_1, round(visible_5 / 5e0, 1) AS rate_5, round(visible_10 / 10e0, 1) AS rate_10, round(visible_30 / 30e0, 1) AS rate_30, fresh_5, fresh_30,
+  round(fresh_5 / 5e0, 1) AS fresh_rate_5, round(fresh_30 / 30e0, 1) AS fresh_rate_30, greatest(0, visible_5 - fresh_5) AS backfill_5, greatest(0, visible_30 - fresh_30) AS backfill_30
+FROM (SELECT z, {_VISIBLE}, {_FRESH} FROM (SELECT *, max(ts) OVER (PARTITION BY CAST(extract(EPOCH FROM ts) / 3600 AS BIGINT)) AS z FROM events) e GROUP BY z) x""".replace("CAST(extract(EPOCH FROM ts) / 3600 AS BIGINT)", "date_trunc('hour', ts)"))
 
 
 @query("SELECT event_type, round(s[least(n - 1, floor(n * 0.5))::INT + 1], 1) AS p50, round(s[least(n - 1, floor(n * 0.95))::INT + 1], 1) AS p95 FROM (SELECT event_type, list_sort(list(value)) AS s, count(value) AS n FROM events GROUP BY event_type)")
 def latency_nearest_rank(t: Tables) -> DataFrame:
-    """By a window rank, so that no task collects a group: the row whose rank is the wanted one."""
-    w = Window.partitionBy("event_type")
-    ranked = t.events.where("value is not null").withColumn("r", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
-    pick = lambda p: F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))) + 1, F.col("value")))
-    return ranked.groupBy("event_type").agg(F.round(pick(0.5), 1).alias("p50"), F.round(pick(0.95), 1).alias("p95"))
+    """The row of the wanted rank, found by narrowing its range: no task sorts or collects a group."""
+    found = quantiles.nearest_ranks(t.events, "event_type", "value", [0.5, 0.95])
+    return found.groupBy("event_type").agg(*(F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 1).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))))
 
 
 sql("source_stats", "SELECT user_id AS source, count(*) AS n, coalesce(round(avg(value), 1), 0) AS mean, round(sum(value), 3) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")

@@ -51,12 +51,14 @@ _TABLES = "region nation customer supplier part orders lineitem events documents
 
 def sql(name: str, text: str, oracle: str | None = None) -> None:
     """Registers a query that is plain SQL, run by Catalyst on the tables it names; `oracle` where DuckDB's words differ."""
-    used = [t for t in _TABLES if re.search(rf"\b{t}\b", text)]
+    tables = "|".join(_TABLES)
+    named = re.compile(rf"\b(FROM|JOIN)\s+({tables})\b", re.I)
+    used = sorted({m[2].lower() for m in named.finditer(text)})
+    bound = named.sub(lambda m: f"{m[1]} {{{m[2].lower()}}}", text)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in used:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(text)
+        # the tables as arguments, so that no view of the caller's is replaced
+        return spark.sql(bound, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
     if name in QUERIES:
         raise ValueError(f"two queries are named {name}")

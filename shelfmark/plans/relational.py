@@ -56,7 +56,7 @@ def json_recordset(t: Tables) -> DataFrame:
 
 
 _SERIES = """
-WITH e AS (SELECT date_trunc('minute', ts) AS m FROM events WHERE ts < TIMESTAMP '2024-01-03'), b AS (SELECT min(m) AS a, max(m) AS z FROM e),
+WITH e AS (SELECT date_trunc('minute', ts) AS m FROM events), b AS (SELECT min(m) AS a, max(m) AS z FROM e),
 s AS (SELECT unnest(generate_series(a, z, INTERVAL 1 MINUTE)) AS minute FROM b)
 SELECT minute, count(m) AS n FROM s LEFT JOIN e ON m = minute GROUP BY minute
 """
@@ -65,7 +65,7 @@ SELECT minute, count(m) AS n FROM s LEFT JOIN e ON m = minute GROUP BY minute
 @query(_SERIES)
 def minute_series_fill(t: Tables) -> DataFrame:
     """Counts of every minute, with those that have none."""
-    e = t.events.where("ts < timestamp_ntz'2024-01-03'").select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("m"))
+    e = t.events.select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("m"))
     s = e.agg(F.min("m").alias("a"), F.max("m").alias("z")).select(F.explode(F.expr("sequence(a, z, interval 1 minute)")).alias("minute"))
     return s.join(e.groupBy("m").count(), F.col("m") == F.col("minute"), "left").select("minute", F.coalesce("count", F.lit(0)).alias("n"))
 
@@ -170,9 +170,11 @@ def lateral_top1(t: Tables) -> DataFrame:
 
 
 sql("left_lateral_max", "SELECT c_custkey, m AS latest FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders GROUP BY o_custkey) x ON o_custkey = c_custkey")
-sql("zero_decimal_selfjoin", """
-WITH k AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber AS STRING) || '.00' ELSE CAST(l_linenumber AS STRING) END AS key FROM lineitem UNION ALL SELECT l_orderkey, CAST(l_linenumber AS STRING) FROM lineitem WHERE l_linenumber % 4 = 0)
-SELECT a.l_orderkey, a.key AS spelled, b.key AS canonical FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND regexp_replace(a.key, '[.]0+$', '') = b.key WHERE a.key <> b.key""")
+_SPELLED = """WITH k AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber AS STRING) || '.00' ELSE CAST(l_linenumber AS STRING) END AS key FROM lineitem UNION ALL SELECT l_orderkey, CAST(l_linenumber AS STRING) FROM lineitem WHERE l_linenumber % 4 = 0)"""
+sql("zero_decimal_selfjoin", _SPELLED + """
+SELECT a.l_orderkey, a.key AS spelled, b.key AS canonical FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND regexp_replace(a.key, '[.]0+$', '') = b.key WHERE a.key <> b.key""", _SPELLED + """,
+c AS (SELECT l_orderkey, key, regexp_replace(key, '[.]0+$', '') AS plain FROM k), g AS (SELECT l_orderkey, plain, count(CASE WHEN key = plain THEN 1 END) AS n FROM c GROUP BY l_orderkey, plain)
+SELECT l_orderkey, key AS spelled, plain AS canonical FROM (SELECT c.*, unnest(range(n)) AS i FROM c JOIN g USING (l_orderkey, plain) WHERE key <> plain) x""")
 
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY (c_custkey <= 100)::INT, c_custkey LIMIT 120")
@@ -201,7 +203,7 @@ def distinct_array_agg(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(kinds.alias("k")).select("o_custkey", F.when(F.size("k") > 0, F.array_join("k", ",")).alias("kinds"))
 
 
-@query()
+@query("""SELECT o_custkey, '[' || string_agg('{"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || '","o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderdate, o_orderkey, o_orderstatus) || ']' AS chapters FROM orders GROUP BY o_custkey""")
 def nested_json_agg(t: Tables) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")))
     return t.orders.groupBy("o_custkey").agg(F.to_json(rows).alias("chapters"))
@@ -212,7 +214,9 @@ sql("progress_snapshot", """
 SELECT (SELECT count(*) FROM customer) AS works, (SELECT count(*) FROM orders) AS chapters, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS published,
   (SELECT count(DISTINCT o_custkey) FROM orders) AS active, (SELECT max(o_orderdate) FROM orders) AS latest, (SELECT count(*) FROM lineitem) AS routes,
   (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS blocked, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM documents) AS texts, (SELECT count(DISTINCT text) FROM documents) AS distinct_texts""")
-sql("top3_share", "WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM s) SELECT round(1e2 * sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n), 2) AS top_share, round(1e2 * sum(CASE WHEN k <= 3 THEN n ELSE 0 END) / sum(n), 2) AS top3_share FROM r")
+sql("top3_share", """
+WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), t AS (SELECT n FROM s ORDER BY n DESC, user_id LIMIT 3)
+SELECT round(1e2 * (SELECT max(n) FROM t) / (SELECT count(*) FROM events), 2) AS top_share, round(1e2 * (SELECT sum(n) FROM t) / (SELECT count(*) FROM events), 2) AS top3_share""")
 sql("latency_percentile_cont", "SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95 FROM events GROUP BY event_type")
 sql("bounded_count", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' LIMIT 500) x")
 sql("page_integrity", "SELECT conv_id, count(*) AS n, count(DISTINCT turn) = count(*) AND min(turn) = 0 AND max(turn) = count(*) - 1 AND count(*) FILTER (WHERE trim(coalesce(text, '')) = '') = 0 AS sound FROM conversations GROUP BY conv_id")

@@ -128,8 +128,9 @@ u AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 10)
 SELECT work, k, CASE WHEN p.l_orderkey IS NOT NULL THEN 'PUBLISHED' WHEN s.l_orderkey IS NOT NULL THEN 'STAGED' WHEN q.l_orderkey IS NOT NULL THEN 'QUEUED' WHEN u.l_orderkey IS NOT NULL THEN 'UNRESOLVED_GAP' ELSE 'QUEUED_NEW' END AS status
 FROM m LEFT JOIN p ON p.l_orderkey = work AND p.l_linenumber = k LEFT JOIN s ON s.l_orderkey = work AND s.l_linenumber = k LEFT JOIN q ON q.l_orderkey = work AND q.l_linenumber = k LEFT JOIN u ON u.l_orderkey = work AND u.l_linenumber = k""")
 sql("fresh_vs_backfill", """
-SELECT l_orderkey, l_linenumber, fresh, CASE WHEN fresh THEN 100 WHEN milestone > 0 THEN 70 ELSE 50 END AS priority FROM (
-  SELECT *, milestone > 0 AND l_linenumber > milestone AS fresh FROM (SELECT l_orderkey, l_linenumber, coalesce(max(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) OVER (PARTITION BY l_orderkey), 0) AS milestone FROM lineitem) x) y""")
+SELECT l_orderkey, l_linenumber, fresh, CASE WHEN NOT tracked THEN 50 WHEN fresh THEN 100 ELSE 70 END AS priority FROM (
+  SELECT l_orderkey, l_linenumber, tracked, tracked AND milestone > 0 AND l_linenumber > milestone AS fresh FROM (SELECT l_orderkey, l_linenumber, o_orderstatus <> 'P' AS tracked,
+    coalesce(max(CASE WHEN l_returnflag IN ('A', 'R') THEN l_linenumber END) OVER (PARTITION BY l_orderkey), 0) AS milestone FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x) y""")
 _SCORED = "SELECT DISTINCT l_partkey AS work, l_suppkey AS source, s_acctbal AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0"
 
 
@@ -141,11 +142,32 @@ def primary_and_fallbacks(t: Tables) -> DataFrame:
     return rows.select("work", F.col("l")[0].alias("main"), F.array_join(F.transform(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), lambda x: x.cast("string")), ",").alias("fallbacks"))
 
 
-sql("publication_barrier", """
-WITH c AS (SELECT l_orderkey AS work, l_linenumber AS k, bool_or(l_returnflag = 'A') AS published, bool_or(l_quantity < 5) AS gap FROM lineitem WHERE (l_orderkey + 3 * l_linenumber) % 4 <> 0 GROUP BY l_orderkey, l_linenumber),
-k AS (SELECT *, lag(k) OVER (PARTITION BY work ORDER BY k) AS prev FROM c),
-b AS (SELECT *, count(CASE WHEN NOT published THEN 1 END) OVER (PARTITION BY work ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blocking, max(CASE WHEN published THEN k END) OVER (PARTITION BY work) AS newest FROM k)
-SELECT work, k, CASE WHEN prev IS NULL AND k <= 1.5 THEN 'INITIAL' WHEN newest IS NOT NULL AND k < newest THEN 'BACKFILL' WHEN blocking > 0 THEN 'BLOCKED' WHEN k - coalesce(prev, 0) <= 1.05 THEN 'STEP' WHEN gap THEN 'COVERED_GAP' ELSE 'UNRESOLVED_GAP' END AS decision FROM b WHERE NOT published""")
+# chapters are lines, half of them half a step on; published, completed, missing and confirmed gaps follow from a line's own columns
+_CHAPTERS = "SELECT l_orderkey AS work, (l_linenumber + CASE WHEN l_quantity > 40 THEN 0.5 ELSE 0 END)::DOUBLE AS k, l_returnflag = 'A' AND l_orderkey % 3 > 0 AS published, l_returnflag = 'R' AS completed, l_quantity < 6 AS gap FROM lineitem WHERE (l_orderkey + 3 * l_linenumber) % 4 <> 0"
+_CONFIRMED = "SELECT l_orderkey AS work, l_linenumber::DOUBLE AS a, (l_linenumber + 2)::DOUBLE AS z FROM lineitem WHERE l_discount >= 0.09"
+
+
+@query(f"""
+WITH c AS ({_CHAPTERS}), g AS ({_CONFIRMED}), p AS (SELECT work, max(k) AS m FROM c WHERE published GROUP BY work),
+t AS (SELECT DISTINCT c.work, c.k, p.m FROM c LEFT JOIN p ON p.work = c.work WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.work = c.work AND d.k = c.k AND d.published)),
+f AS (SELECT t.*, (SELECT count(DISTINCT d.k) FROM c d WHERE d.work = t.work AND d.k > t.m AND d.k < t.k AND NOT d.gap AND NOT EXISTS (SELECT 1 FROM g WHERE g.work = d.work AND g.a <= d.k AND g.z >= d.k)
+    AND NOT EXISTS (SELECT 1 FROM c e WHERE e.work = d.work AND e.k = d.k AND e.completed)) AS blocking,
+  EXISTS (SELECT 1 FROM c d WHERE d.work = t.work AND d.k > t.m AND d.k < t.k AND d.gap) AS known, EXISTS (SELECT 1 FROM g WHERE g.work = t.work AND g.a <= t.m + 1 AND g.z >= t.k - 1) AS confirmed,
+  EXISTS (SELECT 1 FROM c d WHERE d.work = t.work AND d.k <= 1.5 AND NOT d.gap AND NOT d.completed) AS first, EXISTS (SELECT 1 FROM c d WHERE d.work = t.work AND d.k <= 1.5 AND d.gap) AS nofirst,
+  EXISTS (SELECT 1 FROM g WHERE g.work = t.work AND g.a <= 1.5 AND g.z >= t.k - 1) AS started FROM t)
+SELECT work, k, CASE WHEN m IS NULL THEN CASE WHEN k > 1.5 AND first AND NOT nofirst AND NOT started THEN 'WAITING_FOR_INITIAL_CHAPTERS' ELSE 'INITIAL_CHAPTER_CLEAR' END WHEN k <= m THEN 'BACKFILL_CLEAR' WHEN k - m <= 1.05 THEN 'BARRIER_CLEAR'
+  WHEN blocking > 0 THEN 'UNPUBLISHED_PRECEDING_CHAPTERS' WHEN NOT known AND NOT confirmed THEN 'UNRESOLVED_GAP' ELSE 'BARRIER_CLEAR' END AS reason,
+  (CASE WHEN m IS NULL THEN CASE WHEN k > 1.5 AND first AND NOT nofirst AND NOT started THEN 1 ELSE 0 END WHEN k - m <= 1.05 THEN 0 WHEN blocking > 0 THEN blocking WHEN NOT known AND NOT confirmed THEN greatest(1, floor(k - m) - 1) ELSE 0 END)::BIGINT AS blocking FROM f""")
+def publication_barrier(t: Tables) -> DataFrame:
+    l = t.lineitem  # noqa: E741
+    chapters = l.where("(l_orderkey + 3 * l_linenumber) % 4 <> 0").select(
+        F.col("l_orderkey").alias("work"), (F.col("l_linenumber") + F.when(F.col("l_quantity") > 40, 0.5).otherwise(0.0)).cast("double").alias("k"),
+        ((F.col("l_returnflag") == "A") & (F.col("l_orderkey") % 3 > 0)).alias("published"), (F.col("l_returnflag") == "R").alias("completed"), (F.col("l_quantity") < 6).alias("gap"),
+    )
+    confirmed = l.where("l_discount >= 0.09").select(F.col("l_orderkey").alias("work"), F.col("l_linenumber").cast("double").alias("start"), (F.col("l_linenumber") + 2).cast("double").alias("end"))
+    return sequences.barrier(chapters, confirmed, "work", "k")
+
+
 sql("claim_fences", """
 SELECT l_orderkey, l_linenumber FROM lineitem c WHERE l_linestatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem p WHERE p.l_orderkey = c.l_orderkey AND p.l_returnflag = 'A' AND p.l_linenumber >= c.l_linenumber)
 AND NOT EXISTS (SELECT 1 FROM lineitem a WHERE a.l_orderkey = c.l_orderkey AND a.l_returnflag = 'R' AND a.l_quantity > 40)
@@ -164,10 +186,11 @@ WITH e AS (SELECT o_custkey AS work, CASE CAST(o_orderkey AS INT) % 5 WHEN 0 THE
 SELECT work, count(CASE WHEN error = '404' THEN 1 END) >= 2 OR count(CASE WHEN error = 'ABSENT' THEN 1 END) >= 1 AS proven, count(CASE WHEN error IN ('403', '429', 'TIMEOUT') THEN 1 END) AS transient FROM e GROUP BY work""")
 
 
-@query("SELECT o_orderkey, greatest(o_orderdate, max(o_orderdate + INTERVAL 1 MILLISECOND) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS published_at FROM orders")
+@query("""
+WITH RECURSIVE n AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+r AS (SELECT o_custkey, o_orderkey, i, o_orderdate AS published_at FROM n WHERE i = 1
+  UNION ALL SELECT n.o_custkey, n.o_orderkey, n.i, greatest(n.o_orderdate, r.published_at + INTERVAL 1 MILLISECOND) FROM r JOIN n ON n.o_custkey = r.o_custkey AND n.i = r.i + 1)
+SELECT o_orderkey, published_at FROM r""")
 def monotone_publish(t: Tables) -> DataFrame:
-    """A publish time is at least a millisecond after all earlier chapters' own times (one pass)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return t.orders.select("o_orderkey", F.greatest("o_orderdate", F.max(F.expr("o_orderdate + interval 1 millisecond")).over(w)).alias("published_at"))
+    """Every chapter is published at its own time, but a millisecond after the one before it at least."""
+    return sequences.increasing(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderkey", "o_orderdate").select("o_orderkey", F.col("o_orderdate").alias("published_at"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.operators import folds
+from shelfmark.operators import folds, leases
 from shelfmark.plans.registry import Tables, query, sql
 
 # tasks are orders: state from the status, attempts and leases from the keys, as-of the newest date
@@ -13,9 +13,53 @@ _TASKS = """SELECT o_orderkey AS id, o_custkey AS work, CASE o_orderstatus WHEN
  o_orderdate AS updated_at, o_orderdate + INTERVAL 30 DAY AS lease_until, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 ELSE 3 END AS priority FROM orders"""
 _NOW = "(SELECT max(o_orderdate) FROM orders)"
 
-sql("lease_recovery", f"""
-SELECT id, CASE WHEN state <> 'RUNNING' OR lease_until >= now THEN state WHEN attempts < 5 THEN 'RETRY_WAIT' ELSE 'BLOCKED' END AS state,
-  CASE WHEN state = 'RUNNING' AND lease_until < now AND attempts < 5 THEN now + INTERVAL 30 SECOND END AS run_at FROM ({_TASKS}) t CROSS JOIN (SELECT max(o_orderdate) AS now FROM orders) n""")
+# the same as leased tasks: every 7th recurs, workers are w0, w1, w2
+_LEASED = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'DISCOVER' ELSE 'CHAPTER' END AS type, CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'QUEUED' ELSE 'RETRY' END WHEN 'F' THEN 'IMPORTING' ELSE 'COMPLETED' END AS status,
+  CAST(o_orderkey % 100 AS INT) AS priority, CAST(o_orderkey % 6 AS INT) AS attempts, 5 AS max_attempts, CASE WHEN o_orderstatus = 'F' THEN 'w' || CAST(o_orderkey % 3 AS {text}) END AS owner,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 900 DAY END AS lease_until, o_orderdate AS next_run, CAST(NULL AS {text}) AS error FROM orders"""
+
+
+def _leased(t: Tables) -> tuple[DataFrame, Column]:
+    o = t.orders
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(state == "O", F.when(key % 2 == 0, "QUEUED").otherwise("RETRY")).when(state == "F", "IMPORTING").otherwise("COMPLETED")
+    running = state == "F"
+    tasks = o.select(
+        key.alias("id"), F.when(key % 7 == 0, "DISCOVER").otherwise("CHAPTER").alias("type"), status.alias("status"), (key % 100).cast("int").alias("priority"), (key % 6).cast("int").alias("attempts"), F.lit(5).alias("max_attempts"),
+        F.when(running, F.concat(F.lit("w"), (key % 3).cast("string"))).alias("owner"), F.when(running, F.col("o_orderdate") + F.expr("INTERVAL 900 DAY")).alias("lease_until"), F.col("o_orderdate").alias("next_run"), F.lit(None).cast("string").alias("error"),
+    )
+    return tasks, F.lit(o.agg(F.max("o_orderdate")).first()[0])
+
+
+@query(f"""
+WITH t AS ({_LEASED.format(text='VARCHAR')}), n AS (SELECT max(o_orderdate) AS now FROM orders), x AS (SELECT t.*, now, status = 'IMPORTING' AND lease_until < now AS over, attempts >= max_attempts AND type <> 'DISCOVER' AS spent FROM t, n)
+SELECT id, CASE WHEN NOT coalesce(over, false) THEN status WHEN spent THEN 'BLOCKED' ELSE 'RETRY' END AS status, CASE WHEN over THEN NULL ELSE owner END AS owner, CASE WHEN over AND NOT spent THEN now + INTERVAL 30 SECOND ELSE next_run END AS next_run,
+  CASE WHEN over THEN CASE WHEN spent THEN 'LEASE_EXPIRED_MAX_ATTEMPTS' ELSE 'LEASE_EXPIRED' END END AS error FROM x""")
+def lease_recovery(t: Tables) -> DataFrame:
+    """Leases that are over go back to the queue, or are blocked; recurring types are exempt from the limit of attempts."""
+    tasks, now = _leased(t)
+    return leases.recover(tasks, now, F.col("type") == "DISCOVER").select("id", "status", "owner", "next_run", "error")
+
+
+@query(f"""
+WITH t AS ({_LEASED.format(text='VARCHAR')}), n AS (SELECT max(o_orderdate) AS now FROM orders),
+beat AS (SELECT t.* REPLACE (CASE WHEN status = 'IMPORTING' AND id % 4 = 0 AND owner = 'w' || (id % 2) THEN now + INTERVAL 300 SECOND ELSE lease_until END AS lease_until), now FROM t, n),
+rel AS (SELECT *, id % 10 = 3 AND (owner IS NULL OR owner = 'w0') AS ends FROM beat),
+fin AS (SELECT id, CASE WHEN ends THEN CASE WHEN id % 20 = 3 THEN 'RETRY' ELSE 'COMPLETED' END ELSE status END AS status, priority, attempts, CASE WHEN ends THEN NULL ELSE owner END AS owner, CASE WHEN ends THEN NULL ELSE lease_until END AS lease_until,
+  CASE WHEN ends THEN CASE WHEN id % 20 = 3 THEN now + to_seconds(coalesce(CASE WHEN id % 3 = 0 THEN 5 END, 60)::BIGINT) ELSE now END ELSE next_run END AS next_run, now FROM rel),
+got AS (SELECT id AS g FROM fin WHERE (status IN ('QUEUED', 'RETRY') AND next_run <= now) OR (status = 'IMPORTING' AND lease_until < now) ORDER BY priority DESC, next_run, id LIMIT 25)
+SELECT id, CASE WHEN g IS NULL THEN status ELSE 'IMPORTING' END AS status, attempts + CASE WHEN g IS NULL THEN 0 ELSE 1 END AS attempts, CASE WHEN g IS NULL THEN owner ELSE 'w9' END AS owner, CASE WHEN g IS NULL THEN lease_until ELSE now + INTERVAL 300 SECOND END AS lease_until, next_run
+FROM fin LEFT JOIN got ON g = id""")
+def lease_lifecycle(t: Tables) -> DataFrame:
+    """A round of beats, ends and claims: beats and ends of workers that don't own the task change nothing."""
+    tasks, now = _leased(t)
+    key = F.col("o_orderkey")
+    beats = t.orders.where("o_orderkey % 4 = 0").select(key.alias("id"), F.concat(F.lit("w"), (key % 2).cast("string")).alias("worker"))
+    ends = t.orders.where("o_orderkey % 10 = 3").select(key.alias("id"), F.lit("w0").alias("worker"), F.when(key % 20 == 3, "RETRY").otherwise("COMPLETED").alias("status"), F.lit(None).cast("string").alias("error"), F.when(key % 3 == 0, 5).alias("delay_s"))
+    after = leases.release(leases.renew(tasks, beats, now), ends, now)
+    return leases.claim(after, now, "w9", 25).select("id", "status", "attempts", "owner", "lease_until", "next_run")
+
+
 sql("enqueue_revive", f"""
 WITH q AS ({_TASKS}), i AS (SELECT id, min(p) AS p FROM (SELECT o_orderkey + 5 AS id, CAST(o_orderkey % 3 AS INT) AS p FROM orders WHERE o_totalprice > 200000) x GROUP BY id)
 SELECT coalesce(q.id, i.id) AS id, CASE WHEN q.id IS NULL THEN 'READY' WHEN i.id IS NOT NULL AND q.state = 'DONE' THEN 'READY' ELSE q.state END AS state, least(coalesce(q.priority, 3), coalesce(i.p, 3)) AS priority FROM q FULL JOIN i ON q.id = i.id""")
@@ -58,36 +102,63 @@ sql("enrichment_candidates", """
 WITH a AS (SELECT c_custkey, c_acctbal, 1 AS linked FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 60),
 b AS (SELECT c_custkey, c_acctbal, 0 AS linked FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 60), u AS (SELECT c_custkey, max(c_acctbal) AS views, max(linked) AS linked FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x GROUP BY c_custkey)
 SELECT c_custkey, CAST(row_number() OVER (ORDER BY linked DESC, views DESC, c_custkey) AS INT) AS place FROM u""")
-sql("uncovered_sources", "SELECT c_custkey AS work, s_suppkey AS source FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 9500) w CROSS JOIN (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 20) s WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_suppkey = s_suppkey)")
 sql("page_merge_dedup", """
-WITH front AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders ORDER BY n LIMIT 50), cur AS (SELECT o_orderkey AS id, 1000 + row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey > 200 ORDER BY n LIMIT 100)
+WITH front AS (SELECT id, row_number() OVER (ORDER BY day DESC, id) AS n FROM (SELECT o_orderkey AS id, o_orderdate AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) a),
+cur AS (SELECT id, 1000 + row_number() OVER (ORDER BY id) AS n FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey > 200 ORDER BY o_orderkey LIMIT 100) b)
 SELECT id, CAST(min(n) AS INT) AS place FROM (SELECT * FROM front UNION ALL SELECT * FROM cur) x GROUP BY id""")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT c_custkey AS work, count(*) AS uncovered, min(s_suppkey) AS next_source FROM customer CROSS JOIN supplier WHERE NOT EXISTS (SELECT 1 FROM c WHERE o_custkey = c_custkey AND l_suppkey = s_suppkey) GROUP BY c_custkey""")
+def uncovered_sources(t: Tables) -> DataFrame:
+    """For every work, how many sources don't cover it, and the first of these: from the covered ones alone, as the
+    first place at which they leave a gap in the order of all sources."""
+    places = t.supplier.select(F.col("s_suppkey").alias("source"), F.row_number().over(Window.orderBy("s_suppkey")).alias("i"))  # a source list, a row for each site
+    every = places.agg(F.count("*").alias("every"))
+    mapped = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("work"), F.col("l_suppkey").alias("source")).distinct().join(places, "source")
+    k = F.row_number().over(Window.partitionBy("work").orderBy("i"))
+    gap = mapped.withColumn("k", k).groupBy("work").agg(F.count("*").alias("n"), F.coalesce(F.min(F.when(F.col("i") > F.col("k"), F.col("k"))), F.count("*") + 1).alias("i"))
+    rows = t.customer.select(F.col("c_custkey").alias("work")).join(gap, "work", "left").select("work", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("i", F.lit(1)).alias("i"))
+    return rows.crossJoin(F.broadcast(every)).where("n < every").join(places, "i").select("work", (F.col("every") - F.col("n")).alias("uncovered"), F.col("source").alias("next_source"))
+
+
 sql("backoff_schedule", f"SELECT id, attempts, CAST(least(21600, 60 * power(2, least(attempts, 8))) AS INT) AS wait_s FROM ({_TASKS}) t")
 sql("backlog_reason", f"""
 SELECT coalesce((SELECT min('STAFF') FROM ({_TASKS}) a WHERE priority < 0), (SELECT min('EXPIRED_LEASE') FROM ({_TASKS}) b WHERE state = 'RUNNING' AND attempts > 99), (SELECT min('READY_WORK') FROM ({_TASKS}) c WHERE state = 'READY'), 'IDLE') AS reason""")
 sql("work_cost_class", "SELECT l_orderkey, CASE WHEN pages <= 25 THEN 'SMALL' WHEN pages <= 60 THEN 'MEDIUM' ELSE 'LARGE' END AS class FROM (SELECT l_orderkey, sum(l_quantity) AS pages FROM lineitem GROUP BY l_orderkey) x")
-sql("coverage_matrix", """
-WITH pairs AS (SELECT s_suppkey AS source, p_partkey AS work, p_size FROM supplier CROSS JOIN (SELECT p_partkey, p_size FROM part ORDER BY p_partkey LIMIT 100) p),
-m AS (SELECT l_suppkey, l_partkey, max(l_shipdate) AS at, bool_or(l_returnflag = 'R') AS failed FROM lineitem GROUP BY l_suppkey, l_partkey)
-SELECT source, work, CASE WHEN m.at IS NULL AND p_size % 5 = 0 THEN 'DEFERRED' WHEN m.at IS NULL AND p_size % 2 = 0 THEN 'NOT_FOUND' WHEN m.at IS NULL THEN 'PENDING' WHEN failed THEN 'FAILED' WHEN m.at < (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 700 DAY THEN 'STALE' ELSE 'MAPPED' END AS state
-FROM pairs LEFT JOIN m ON l_suppkey = source AND l_partkey = work""")
+_STATES = "CASE WHEN failed THEN 'FAILED' WHEN m.at < (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 700 DAY THEN 'STALE' ELSE 'MAPPED' END"
+_MAPPED = "SELECT l_suppkey, l_partkey, max(l_shipdate) AS at, bool_or(l_returnflag = 'R') AS failed FROM lineitem GROUP BY l_suppkey, l_partkey"
 
 
-@query()
-def mapping_states(t: Tables) -> DataFrame:
-    """State of every stored mapping (source, work), by the rules of coverage_matrix."""
+def _mapping_states(t: Tables) -> DataFrame:
     m = t.lineitem.groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("work")).agg(F.max("l_shipdate").alias("at"), F.bool_or(F.col("l_returnflag") == "R").alias("failed"))
-    now = t.lineitem.agg(F.max("l_shipdate").alias("now"))
     stale = F.col("at") < F.col("now") - F.expr("INTERVAL 700 DAY")
-    return m.crossJoin(F.broadcast(now)).select("source", "work", F.when(F.col("failed"), "FAILED").when(stale, "STALE").otherwise("MAPPED").alias("state"))
+    now = F.broadcast(t.lineitem.agg(F.max("l_shipdate").alias("now")))  # one row
+    return m.crossJoin(now).select("source", "work", F.when(F.col("failed"), "FAILED").when(stale, "STALE").otherwise("MAPPED").alias("state"))
 
 
-@query()
-def uncovered_pairs(t: Tables) -> DataFrame:
-    """All works (customers) and sources (suppliers) without a mapping: no row cap on either side."""
-    covered = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("work"), F.col("l_suppkey").alias("source")).distinct()
-    every = t.customer.select(F.col("c_custkey").alias("work")).crossJoin(t.supplier.select(F.col("s_suppkey").alias("source")))
-    return every.join(covered, ["work", "source"], "left_anti")
+@query(f"SELECT l_suppkey AS source, l_partkey AS work, {_STATES} AS state FROM ({_MAPPED}) m")
+def mapping_states(t: Tables) -> DataFrame:
+    """State of every stored mapping (source, work)."""
+    return _mapping_states(t)
+
+
+@query(f"""
+WITH m AS ({_MAPPED}), p AS (SELECT s_suppkey, p_partkey, p_size FROM supplier CROSS JOIN part)
+SELECT p_partkey AS work, CASE WHEN m.at IS NULL AND p_size % 5 = 0 THEN 'DEFERRED' WHEN m.at IS NULL AND p_size % 2 = 0 THEN 'NOT_FOUND' WHEN m.at IS NULL THEN 'PENDING' ELSE {_STATES} END AS state, count(*) AS sources
+FROM p LEFT JOIN m ON l_suppkey = s_suppkey AND l_partkey = p_partkey GROUP BY ALL""")
+def coverage_matrix(t: Tables) -> DataFrame:
+    """For every work, how many of all sources are in each state of the cycle; those without a mapping follow from their
+    number, so that no pair of a work and a source is made."""
+    states = _mapping_states(t).join(t.part.select(F.col("p_partkey").alias("work")), "work").join(t.supplier.select(F.col("s_suppkey").alias("source")), "source")
+    counts = states.groupBy("work", "state").agg(F.count("*").alias("sources"))
+    every = F.broadcast(t.supplier.agg(F.count("*").alias("every")))  # one row
+    held = counts.groupBy("work").agg(F.sum("sources").alias("held"))
+    open_ = F.when(F.col("p_size") % 5 == 0, "DEFERRED").when(F.col("p_size") % 2 == 0, "NOT_FOUND").otherwise("PENDING")
+    rest = t.part.select(F.col("p_partkey").alias("work"), "p_size").join(held, "work", "left").crossJoin(every)
+    rest = rest.select("work", open_.alias("state"), (F.col("every") - F.coalesce("held", F.lit(0))).alias("sources")).where("sources > 0")
+    return counts.unionByName(rest)
 
 
 @query("SELECT doc_id, ok AS matched FROM (SELECT conv_id AS doc_id, count(*) FILTER (WHERE n_chars > 100) = len(list(turn)) AS ok FROM conversations LEFT JOIN documents ON doc_id = turn + conv_id GROUP BY conv_id)")
@@ -100,38 +171,49 @@ def array_count_match(t: Tables) -> DataFrame:
     return found.select(F.col("conv_id").alias("doc_id"), (F.col("found") == F.col("n")).alias("matched"))
 
 
-@query("SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice > 100000 THEN 'price' END, CASE WHEN o_orderstatus <> 'F' THEN 'status' END], lambda x: x IS NOT NULL), ',') AS changed FROM orders WHERE o_totalprice > 100000 OR o_orderstatus <> 'F'")
+@query("""
+SELECT o_orderkey, '{' || array_to_string(list_filter([CASE WHEN o_totalprice > 100000 THEN '"price":{"from":"100000","to":"' || floor(o_totalprice)::BIGINT || '"}' END, CASE WHEN o_orderstatus <> 'F' THEN '"status":{"from":"F","to":"' || o_orderstatus || '"}' END], lambda x: x IS NOT NULL), ',') || '}' AS provenance
+FROM orders WHERE o_totalprice > 100000 OR o_orderstatus <> 'F'""")
 def field_changes(t: Tables) -> DataFrame:
-    """Fields that an edit changed, from the old and the new row as maps."""
-    old = F.create_map(F.lit("price"), F.least("o_totalprice", F.lit(100000.0)).cast("string"), F.lit("status"), F.lit("F"))
-    new = F.create_map(F.lit("price"), F.col("o_totalprice").cast("string"), F.lit("status"), F.col("o_orderstatus"))
-    rows = t.orders.withColumn("old", old).withColumn("new", new)
-    changed = rows.withColumn("c", F.map_filter("new", lambda k, v: ~v.eqNullSafe(F.col("old")[k])))
-    return changed.where(F.size("c") > 0).select("o_orderkey", F.array_join(F.map_keys("c"), ",").alias("changed"))
+    """Fields that an edit changed, with their old and new values, as JSON; from the old and the new row as maps."""
+    price = F.floor("o_totalprice").cast("long")
+    old = F.create_map(F.lit("price"), F.least(price, F.lit(100000)).cast("string"), F.lit("status"), F.lit("F"))
+    new = F.create_map(F.lit("price"), F.when(F.col("o_totalprice") > 100000, price).otherwise(F.least(price, F.lit(100000))).cast("string"), F.lit("status"), F.col("o_orderstatus"))
+    rows = t.orders.where("o_totalprice > 100000 or o_orderstatus <> 'F'").withColumn("old", old).withColumn("new", new)
+    changed = F.map_filter("new", lambda k, v: ~v.eqNullSafe(F.col("old")[k]) | ((k == "price") & (F.col("o_totalprice") > 100000)))
+    both = F.transform_values(changed, lambda k, v: F.struct(F.col("old")[k].alias("from"), v.alias("to")))
+    return rows.select("o_orderkey", F.to_json(both).alias("provenance"))
+
+
+def _events(t: Tables) -> DataFrame:
+    return t.events.select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
 
 
 @query()
 def ewma_tier(t: Tables) -> DataFrame:
-    return folds.ewma_tiers(t.events.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value")
+    """Tiers of sources (users) from their pages, chapters and failures."""
+    kind = F.when(F.col("event_type") == "purchase", "chapter").when(F.col("event_type") == "error", "failure").otherwise("page")
+    e = t.events.select("user_id", "ts", "event_id", kind.alias("kind"), (F.col("value") * F.when(kind == "page", 60).otherwise(900)).alias("ms"), (F.col("event_id") % 60).cast("int").alias("n"))
+    return folds.source_tiers(e, "user_id", ["ts", "event_id"], "kind", "ms", "n")
 
 
 @query()
 def breaker_sim(t: Tables) -> DataFrame:
-    e = t.events.select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
-    return folds.breakers(e, "user_id", ["ts", "event_id"], "ts", "ok")
+    return folds.breakers(_events(t), "user_id", ["ts", "event_id"], "ts", "ok")
 
 
 @query()
 def aimd_sim(t: Tables) -> DataFrame:
-    e = t.events.select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
-    return folds.rate_limits(e, "user_id", ["ts", "event_id"], "ok")
+    return folds.rate_limits(_events(t), "user_id", ["ts", "event_id"], "ts", "ok")
 
 
 @query()
 def fair_allocation(t: Tables) -> DataFrame:
-    """Slots for the five event types by their counts: the demand is one row for each type."""
-    demand = {r[0]: r[1] for r in t.events.groupBy("event_type").count().limit(1000).collect()}
-    return t.spark.createDataFrame(sorted(folds.fair_allocation(demand, 18).items()), "event_type string, slots long")
+    """Slots for all suppliers with open lines, by their demand, limit and tier."""
+    demand = t.lineitem.where("l_linestatus = 'O'").groupBy(F.col("l_suppkey").alias("source")).agg(F.count("*").alias("demand"))
+    tier = F.when(F.col("s_acctbal") > 5000, "FAST").when(F.col("s_acctbal") < 0, "SLOW").otherwise("NORMAL")
+    rows = demand.join(t.supplier.select(F.col("s_suppkey").alias("source"), (F.col("s_nationkey") % 5 + 2).cast("int").alias("most"), tier.alias("tier")), "source")
+    return folds.fair_allocation(rows, 400)
 
 
 @query()

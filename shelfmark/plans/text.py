@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions import rules, titles
 from shelfmark.functions import text as fn
 from shelfmark.operators import ranking
 from shelfmark.plans.registry import Tables, query, sql
 
-_KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-# pairs of works and incoming titles: the same part's name with one word less, and its successor's
+# what a title is in DuckDB's own words: its fold of accents, then the classes of characters
+_FOLD = "regexp_replace(nfc_normalize(strip_accents(lower({}))), '[\\x{{0300}}-\\x{{036F}}]', '', 'g')"
+_KEY = f"trim(regexp_replace(regexp_replace({_FOLD}, '[\\p{{{{P}}}}\\p{{{{S}}}}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NOISE = ", ".join(f"'{w}'" for w in titles.NOISE)
+_STOP = ", ".join(f"'{w}'" for w in titles.STOP)
+_NORM = f"array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace({_FOLD}, '[''’`´\"״]', '', 'g'), '[^\\p{{{{L}}}}\\p{{{{N}}}}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ({_NOISE})), ' ')"
+# pairs of works and incoming titles: a part's name and its successor's
 _PAIRS = "SELECT a.p_partkey AS id, lower(a.p_name) AS a, lower(b.p_name) AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
 
 
@@ -19,38 +25,44 @@ def _pairs(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("a")).join(b, "id")
 
 
-@query()
-def normalize_title(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", fn.normalize_title(F.concat("p_name", F.lit(" (Official Scan)"))).alias("title"))
+# titles of four scripts: the first words of documents, and a name for each of some keys
+_TITLES = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '進撃の巨人 Official' WHEN 1 THEN 'Ёж и Café (Scan PT-BR)' WHEN 2 THEN '나 혼자만 레벨업' ELSE substr(text, 1, 60) || ' Manhwa' END AS title FROM documents"
 
 
-@query(f"SELECT p_partkey, {_KEY.format('p_name')} AS key FROM part")
-def catalog_title_key(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", fn.catalog_key(F.col("p_name")).alias("key"))
+def _titles(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 5
+    other = F.concat(F.substring("text", 1, 60), F.lit(" Manhwa"))
+    return t.documents.select("doc_id", F.when(k == 0, "進撃の巨人 Official").when(k == 1, "Ёж и Café (Scan PT-BR)").when(k == 2, "나 혼자만 레벨업").otherwise(other).alias("title"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in fn.STOP)
+@query(f"SELECT doc_id, coalesce({_NORM.format('title')}, '') AS title FROM ({_TITLES})")
+def normalize_title(t: Tables) -> DataFrame:
+    return _titles(t).select("doc_id", titles.normalize_title(F.col("title")).alias("title"))
+
 
+@query(f"SELECT doc_id, {_KEY.format('title')} AS key FROM ({_TITLES})")
+def catalog_title_key(t: Tables) -> DataFrame:
+    return _titles(t).select("doc_id", titles.catalog_key(F.col("title")).alias("key"))
 
-@query(f"SELECT p_partkey, CASE WHEN len(w) >= 2 THEN array_to_string(w, ' ') END AS key FROM (SELECT p_partkey, list_sort(list_filter(string_split({_KEY.format('p_name')}, ' '), lambda x: x NOT IN ({_STOP}) AND x <> '')) AS w FROM part)")
+
+@query(f"SELECT doc_id, CASE WHEN len(w) >= 2 THEN array_to_string(w, ' ') END AS key FROM (SELECT doc_id, list_sort(list_filter(string_split_regex(regexp_replace({_FOLD.format('title')}, '[^a-z0-9\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}\\s]', ' ', 'g'), '\\s+'), lambda x: x NOT IN ({_STOP}) AND x <> '')) AS w FROM ({_TITLES}))")
 def sig_token_key(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", fn.significant_key(F.col("p_name")).alias("key"))
+    return _titles(t).select("doc_id", titles.significant_key(F.col("title")).alias("key"))
 
 
-@query("SELECT page_id, trim(regexp_replace(lower(regexp_extract(url, '//([^/]*)/', 1)) || '-' || lower(regexp_extract(url, '//[^/]*/(.*)$', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
+@query(f"SELECT page_id, trim(regexp_replace({_FOLD.format('url')}, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
 def slugify(t: Tables) -> DataFrame:
-    raw = F.concat(F.regexp_extract("url", "//([^/]*)/", 1), F.lit("-"), F.regexp_extract("url", "//[^/]*/(.*)$", 1))
-    return t.pages.select("page_id", fn.slugify(raw).alias("slug"))
+    return t.pages.select("page_id", titles.slugify(F.col("url")).alias("slug"))
 
 
 @query(f"SELECT id, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 1 ELSE (greatest(len(a), len(b)) - levenshtein(a, b)) / greatest(len(a), len(b)) END, 9) AS ratio FROM ({_PAIRS})")
 def lev_ratio(t: Tables) -> DataFrame:
-    return _pairs(t).select("id", F.round(fn.levenshtein_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
+    return _pairs(t).select("id", F.round(titles.levenshtein_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
 
 
 @query(f"SELECT id, round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 9) AS jaccard FROM ({_PAIRS})")
 def token_jaccard(t: Tables) -> DataFrame:
-    return _pairs(t).select("id", F.round(fn.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
+    return _pairs(t).select("id", F.round(titles.token_overlap(F.col("a"), F.col("b")), 9).alias("jaccard"))
 
 
 _GRAMS = "list_distinct(list_transform(range(1, len('  ' || {0} || '  ') - 1), lambda i: substr('  ' || {0} || '  ', i, 3)))"
@@ -61,31 +73,41 @@ def trigram_dice(t: Tables) -> DataFrame:
     return _pairs(t).select("id", F.round(fn.trigram_dice(F.col("a"), F.col("b")), 9).alias("dice"))
 
 
-@query()
+_BIGRAMS = "SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, len({0})), lambda i: substr({0}, i, 2))) AS g FROM p) GROUP BY ALL"
+_DICE = f"""WITH p AS ({_PAIRS}), x AS ({_BIGRAMS.format('a')}), y AS ({_BIGRAMS.format('b')}), s AS (SELECT x.id, sum(least(x.n, y.n)) AS n FROM x JOIN y ON x.id = y.id AND x.g = y.g GROUP BY x.id),
+d AS (SELECT p.*, CASE WHEN a = b THEN 1e0 WHEN least(len(a), len(b)) < 2 THEN 0e0 ELSE 2e0 * coalesce(n, 0) / (len(a) + len(b) - 2) END AS dice FROM p LEFT JOIN s ON s.id = p.id)"""
+
+
+@query(f"{_DICE} SELECT id, round(dice, 9) AS dice FROM d")
 def dice_bigram(t: Tables) -> DataFrame:
-    return _pairs(t).select("id", F.round(fn.dice_bigram("a", "b"), 9).alias("dice"))
+    return _pairs(t).select("id", F.round(titles.dice_bigram(F.col("a"), F.col("b")), 9).alias("dice"))
 
 
-@query()
+@query(f"{_DICE} SELECT id, round(0.45e0 * dice + 0.35e0 * (greatest(len(a), len(b)) - levenshtein(a, b)) / greatest(len(a), len(b)) + 0.2e0 * len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 9) AS score FROM d")
 def fuzzy_score(t: Tables) -> DataFrame:
-    return _pairs(t).select("id", F.round(fn.fuzzy_score(F.col("a"), F.col("b")), 9).alias("score"))
+    return _pairs(t).select("id", F.round(titles.fuzzy_raw(F.col("a"), F.col("b")), 9).alias("score"))
 
 
-@query()
-def identity_guards(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", fn.guards(F.concat("p_name", F.lit(" Season 2"))).alias("g")).select("p_partkey", "g.*")
+# pairs with the answer that the rules ask for: title, candidate, other names of each, slugs, kind; method, confidence
+_MATCHES = [
+    ("SandLand", "Sand Land", [], [], None, None, None, "EXACT_TITLE", 0.98), ("Céu Distante - Manhwa PT-BR", "ceu distante!", [], [], None, None, None, "EXACT_TITLE", 1.0), ("The Witches of Eden", "Eden of Witches", [], [], None, None, None, "EXACT_TITLE", 0.96),
+    ("O Mestre da Espada Genial da Academia", "Academy's Genius Swordmaster", ["Academy’s Genius Swordmaster"], [], None, None, None, "ALIAS_EXACT", 0.95), ("Solo Leveling (Novel)", "Solo Leveling", [], [], None, None, None, "NO_MATCH", 0.0), ("Solo Leveling", "Solo Leveling", [], [], None, None, "NOVEL", "NO_MATCH", 0.0),
+    ("Tower of God Season 2", "Tower of God Season 1", [], [], None, None, None, "NO_MATCH", 0.0), ("Tower of God Season 1", "Tower of God", [], [], None, None, None, "NO_MATCH", 0.0), ("Eleceed", "Eleceed Side Story", [], [], None, None, None, "NO_MATCH", 0.0), ("Bocchi the Rock Hentai", "Bocchi the Rock!", [], [], None, None, None, "NO_MATCH", 0.0),
+    ("Pack de Fotos X", "Fotos X", [], [], None, None, None, "NO_MATCH", 0.0), ("Series Title – 1", "Series Title", [], [], None, None, None, "NO_MATCH", 0.0), ("Series Title ~ Animação", "Series Title", [], [], None, None, None, "NO_MATCH", 0.0), ("Series Title Live Action", "Series Title", [], [], None, None, None, "NO_MATCH", 0.0),
+    ("Dragon Ball", "Dragon Ball Super", [], [], None, None, None, "NO_MATCH", 0.0), ("Imperador Mágico", "Magic Emperor", [], [], None, None, None, "ALIAS_EXACT", 0.96), ("Solo Leveling", "Any", [], ["Only I Level Up"], None, None, None, "ALIAS_EXACT", 0.96), ("One Title", "Other Words", [], [], "x-y", "X Y", None, "EXACT_SLUG", 1.0),
+    ("Return of the Mage", "Return of the Mage: Origin Tale", ["Origin Tale"], [], None, None, None, "ALIAS_EXACT", 0.96), ("Return of the Mage Origin Tale", "Return of the Mage", [], ["The Origin Tale"], None, None, None, "ALIAS_EXACT", 0.96), ("Alpha Beta", "Gamma Delta", ["The Hidden Kingdom"], ["the hidden kingdom"], None, None, None, "ALIAS_EXACT", 0.95),
+    ("Alpha Beta", "Sorry", ["Sorry"], [], None, None, None, "NO_MATCH", 0.0), ("Gamma", "Long Other Name", [], ["Gamma"], None, None, None, "NO_MATCH", 0.0), ("Gamma Ray", "Long Other Name", [], ["Gamma Ray!"], None, None, None, "ALIAS_EXACT", 0.95), ("Gamma", "Long Other Name", ["Delta"], ["Delta"], None, None, None, "NO_MATCH", 0.0),
+    ("the great hero returns", "The Great Hero Return", [], [], None, None, None, "FUZZY_HIGH", 0.8931), ("King of the Dark Moon", "King of the Dark Moon Rising", [], [], None, None, None, "FUZZY_HIGH", 0.88), ("Summer Break!", "Natsuyasumi! | Summer Break!", [], [], None, None, None, "EXACT_TITLE", 1.0),
+    ("Summer Break", "Pack (Winter / Summer Break)", [], [], None, None, None, "NO_MATCH", 0.0), ("犬夜叉", "犬夜叉", [], [], None, None, None, "EXACT_TITLE", 1.0), ("進撃の巨人", "進撃の小人", [], [], None, None, None, "NO_MATCH", 0.0), ("", None, [], [], None, None, None, "NO_MATCH", 0.0),
+]
 
 
-@query()
+@query(f"SELECT p_partkey, method, confidence::DOUBLE AS confidence FROM part JOIN (VALUES {', '.join(f'({i}, {m[-2]!r}, {m[-1]})' for i, m in enumerate(_MATCHES))}) v(i, method, confidence) ON p_partkey % {len(_MATCHES)} = i")
 def match_cascade(t: Tables) -> DataFrame:
-    m = fn.match_cascade("a", "b", F.array("b"))
-    return _pairs(t).withColumn("m", m).select("id", "m.method", F.round("m.confidence", 9).alias("confidence"))
-
-
-@query()
-def chapter_identity(t: Tables) -> DataFrame:
-    label = F.concat_ws(".", F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "00"))
-    return t.lineitem.select("l_orderkey", fn.chapter_identity(label, F.lit("pt-br"), F.lit(None).cast("string")).alias("c")).select("l_orderkey", "c.*")
+    text = lambda v: F.lit(v).cast("string")
+    rows = F.array(*(F.struct(text(a).alias("a"), text(b).alias("b"), F.array(*map(F.lit, x)).cast("array<string>").alias("x"), F.array(*map(F.lit, y)).cast("array<string>").alias("y"), text(sa).alias("sa"), text(sb).alias("sb"), text(k).alias("ka")) for a, b, x, y, sa, sb, k, _, _ in _MATCHES))
+    pairs = t.part.select("p_partkey", F.get(rows, (F.col("p_partkey") % len(_MATCHES)).cast("int")).alias("c")).select("p_partkey", "c.*")
+    return titles.match_titles(pairs, "p_partkey", "a", "b", "x", "y", "sa", "sb", "ka")
 
 
 @query()
@@ -107,36 +129,27 @@ def catalog_exact_match(t: Tables) -> DataFrame:
 
 
 _FUZZY = f"""
-WITH w AS (SELECT DISTINCT lower(p_name) AS b FROM part WHERE p_partkey % 2 = 0), i AS (SELECT DISTINCT lower(p_name) AS a FROM part WHERE p_partkey % 10 = 1),
-s AS (SELECT a, b, 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) AS score FROM (SELECT a, {_GRAMS.format('a')} AS x FROM i), (SELECT b, {_GRAMS.format('b')} AS y FROM w)),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n, lead(score) OVER (PARTITION BY a ORDER BY score DESC, b) AS second FROM s WHERE score > 0)
+WITH w AS (SELECT DISTINCT lower(p_name) AS b FROM part WHERE p_partkey % 2 = 0), i AS (SELECT DISTINCT lower(p_name) AS a FROM part WHERE p_partkey % 2 = 1),
+x AS (SELECT a, len(g) AS na, unnest(g) AS g FROM (SELECT a, {_GRAMS.format('a')} AS g FROM i)), y AS (SELECT b, len(g) AS nb, unnest(g) AS g FROM (SELECT b, {_GRAMS.format('b')} AS g FROM w)),
+s AS (SELECT a, b, 2.0::DOUBLE * count(*) / (na + nb) AS score FROM x JOIN y USING (g) GROUP BY a, b, na, nb),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n, lead(score) OVER (PARTITION BY a ORDER BY score DESC, b) AS second FROM s)
 SELECT a, b, round(score, 9) AS score FROM r WHERE n = 1 AND score >= 0.86 AND score - coalesce(second, 0) >= 0.04
 """
 
 
-def _fuzzy(t: Tables, incoming: str) -> DataFrame:
-    """Blocking by shared trigrams: pairs are counted in a join of grams, never as a cross join of titles."""
-    from pyspark.sql import Window
-
+@query(_FUZZY)
+def trigram_fuzzy_match(t: Tables) -> DataFrame:
+    """All items (odd keys) against all works (even ones). Blocking by shared trigrams: a pair's are counted in a join
+    of grams; of an item's scores only the best two are kept, which its rank limits before the shuffle's sort."""
     grams = lambda d: d.withColumn("g", F.explode(fn.grams(F.col("k"), 3, "  "))).withColumn("n", F.size(fn.grams(F.col("k"), 3, "  ")))
     w = grams(t.part.where("p_partkey % 2 = 0").select(F.lower("p_name").alias("k")).distinct()).select(F.col("k").alias("b"), "g", F.col("n").alias("nb"))
-    i = grams(t.part.where(incoming).select(F.lower("p_name").alias("k")).distinct()).select(F.col("k").alias("a"), "g", F.col("n").alias("na"))
+    i = grams(t.part.where("p_partkey % 2 = 1").select(F.lower("p_name").alias("k")).distinct()).select(F.col("k").alias("a"), "g", F.col("n").alias("na"))
     s = i.join(w, "g").groupBy("a", "b", "na", "nb").count().withColumn("score", 2.0 * F.col("count") / (F.col("na") + F.col("nb")))
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    best = s.withColumn("n", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("n = 1")
-    return best.where((F.col("score") >= 0.86) & (F.col("score") - F.coalesce("second", F.lit(0.0)) >= 0.04)).select("a", "b", F.round("score", 9).alias("score"))
-
-
-@query(_FUZZY)
-def trigram_fuzzy_match(t: Tables) -> DataFrame:
-    """Items are the parts of the SQL's filter; trigram_fuzzy_match_all takes all."""
-    return _fuzzy(t, "p_partkey % 10 = 1")
-
-
-@query()
-def trigram_fuzzy_match_all(t: Tables) -> DataFrame:
-    """All incoming items (odd keys) against all works (even keys). SQL would need a cross product of titles."""
-    return _fuzzy(t, "p_partkey % 2 = 1")
+    second = F.lit(-1) * F.col("score")
+    two = s.groupBy("a").agg(F.min(F.struct(second.alias("s"), "b")).alias("best"), F.count("*").alias("n"), F.max("score").alias("score"))
+    rest = s.join(two.select("a", F.col("best.b").alias("b")), ["a", "b"], "left_anti").groupBy("a").agg(F.max("score").alias("second"))
+    found = two.where("score >= 0.86").join(rest, "a", "left").where(F.col("score") - F.coalesce("second", F.lit(0.0)) >= 0.04)
+    return found.select("a", F.col("best.b").alias("b"), F.round("score", 9).alias("score"))
 
 
 @query("SELECT lower(p_name) AS title, count(*) AS works, array_to_string(list_sort(list(p_partkey)), ',') AS members, CASE WHEN count(DISTINCT p_brand) = 1 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM part GROUP BY lower(p_name) HAVING count(*) > 1")
@@ -145,13 +158,28 @@ def duplicate_groups(t: Tables) -> DataFrame:
     return g.select("title", "works", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"), F.when(F.col("brands") == 1, "HIGH").otherwise("LOW").alias("confidence"))
 
 
-sql("metadata_evidence", """
-WITH p AS (SELECT a.p_partkey AS id, a.p_brand = b.p_brand AS creator, a.p_type = b.p_type AS kind, abs(a.p_size - b.p_size) <= 1 AS yr, CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 0.5 END AS title, CASE WHEN a.p_retailprice < b.p_retailprice THEN 0.8 ELSE 0.6 END AS synopsis FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
-SELECT id, round(CAST(CASE WHEN creator THEN 0.3 ELSE 0 END + CASE WHEN kind THEN 0.1 ELSE 0 END + CASE WHEN yr THEN 0.05 ELSE 0 END + title * 0.25 + synopsis * 0.3 AS DOUBLE), 6) AS score, synopsis >= 0.72 AND title >= 0.55 AS automatic FROM p""")
+_SYNOPSIS = "list_filter(string_split_regex(regexp_replace(lower({0}.p_name || ' ' || {0}.p_type || ' ' || {0}.p_name || ' ' || {0}.p_brand), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: len(w) >= 4)"
+
+
+@query(f"""{_DICE}, e AS (SELECT a.p_partkey AS id, a.p_brand = b.p_brand AS author, a.p_type = b.p_type AS kind, abs(a.p_size - b.p_size) <= 1 AS near, {_SYNOPSIS.format('a')} AS x, {_SYNOPSIS.format('b')} AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+f AS (SELECT d.id, author, kind, near, greatest(dice, (greatest(len(a), len(b)) - levenshtein(a, b)) / greatest(len(a), len(b)), len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' '))))) AS title,
+  CASE WHEN least(len(array_to_string(x, ' ')), len(array_to_string(y, ' '))) < 30 THEN 0e0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS syn FROM d JOIN e ON d.id = e.id)
+SELECT id, round(CASE WHEN author THEN 0.3e0 ELSE 0e0 END + CASE WHEN kind THEN 0.1e0 ELSE 0e0 END + CASE WHEN near THEN 0.05e0 ELSE 0e0 END + 0.25e0 * title + 0.3e0 * syn, 4) AS score,
+  author AND kind AND syn >= 0.72 AND title >= 0.55 AS automatic, author AND kind AND NOT (syn >= 0.72 AND title >= 0.55) AND ((syn >= 0.35 AND title >= 0.3) OR title >= 0.72) AS ambiguous FROM f""")
+def metadata_evidence(t: Tables) -> DataFrame:
+    """What creators, kind, year, titles and synopses say about two works being one: a score, and whether it binds or is left to people."""
+    fields = {"title": "p_name", "author": "p_brand", "artist": "p_container", "kind": "p_type", "year": "p_size", "synopsis": "synopsis"}
+    synopsis = F.concat_ws(" ", "p_name", "p_type", "p_name", "p_brand").alias("synopsis")
+    part = t.part.withColumn("p_container", F.lit(None).cast("string")).select("p_partkey", "p_name", "p_brand", "p_container", "p_type", "p_size", synopsis)
+    a, b = (part.select((F.col("p_partkey") - shift).alias("id"), *(F.col(v).alias(f"{side}_{k}") for k, v in fields.items())) for side, shift in (("a", 0), ("b", 1)))
+    return titles.metadata_evidence(a.join(b, "id"), "id")
+
+
 sql("resolve_decision", """
-WITH c AS (SELECT l_partkey AS item, l_suppkey AS work, max(l_discount * 10) AS score FROM lineitem GROUP BY l_partkey, l_suppkey),
-r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, work) AS n, lead(score) OVER (PARTITION BY item ORDER BY score DESC, work) AS second FROM c)
-SELECT item, work, CASE WHEN score < 0.85 THEN 'NEW' WHEN second IS NOT NULL AND score - second < 0.1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS decision FROM r WHERE n = 1""")
+WITH c AS (SELECT l_partkey AS item, l_suppkey AS work, max(l_discount * 10) AS score, bool_and(l_returnflag = 'N') AS fuzzy, bool_or(l_linestatus = 'F') AS evidence FROM lineitem GROUP BY l_partkey, l_suppkey),
+r AS (SELECT *, CASE WHEN fuzzy AND NOT evidence THEN NULL ELSE score END AS binding FROM c),
+t AS (SELECT item, work, binding, row_number() OVER (PARTITION BY item ORDER BY binding DESC NULLS LAST, work) AS n, lead(binding) OVER (PARTITION BY item ORDER BY binding DESC NULLS LAST, work) AS second, max(CASE WHEN binding IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY item) AS held FROM r)
+SELECT item, CASE WHEN binding >= 0.85 THEN work END AS work, CASE WHEN coalesce(binding, 0) < 0.85 THEN CASE WHEN held = 1 OR binding >= 0.6 THEN 'AMBIGUOUS' ELSE 'NEW' END WHEN second >= 0.8 AND second >= binding - 0.1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS decision FROM t WHERE n = 1""")
 sql("chapter_sort_key", "SELECT l_orderkey, l_linenumber, round(CAST(CASE WHEN l_returnflag = 'R' THEN l_linenumber + 0.0001 ELSE l_linenumber + l_discount END AS DECIMAL(10, 4)), 4) AS sort_key FROM lineitem")
 
 
@@ -181,44 +209,41 @@ def html_extract_headings(t: Tables) -> DataFrame:
     return t.pages.select("page_id", nav[0].alias("first_item"), F.array_join(F.regexp_extract_all("html", F.lit("(?i)<h1>([^<]*)</h1>"), F.lit(1)), "|").alias("headings"))
 
 
-sql("alias_bucket", "SELECT p_partkey, CASE WHEN p_name LIKE '%green%' THEN 1 WHEN p_size > 40 THEN 2 WHEN p_brand LIKE 'Brand#1%' THEN 3 WHEN p_retailprice > 1000 THEN 4 ELSE 5 END AS bucket FROM part")
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{3040}-\\x{30FF}]') THEN 'JAPANESE' WHEN regexp_matches(text, '[\\x{AC00}-\\x{D7AF}]') THEN 'KOREAN' WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'CHINESE' WHEN regexp_matches(text, '[\\x{0400}-\\x{04FF}]') THEN 'CYRILLIC' WHEN regexp_matches(text, '[A-Za-z]') THEN 'LATIN' ELSE 'NONE' END AS script FROM documents")
 def script_class(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", fn.script(F.col("text")).alias("script"))
 
 
-@query("SELECT page_id, CASE WHEN t IS NULL OR trim(t) = '' THEN 'EMPTY' WHEN len(t) > 250 THEN 'TOO_LONG' WHEN regexp_matches(t, '(?i)log ?in|sign in') THEN 'LOGIN_WALL' WHEN regexp_matches(t, '(?i)just a moment|captcha') THEN 'CHALLENGE' WHEN regexp_matches(t, '(?i)\\b(403|404|500|not found)\\b') THEN 'HTTP_ERROR' WHEN regexp_matches(t, '[#*%$]{3}') THEN 'PLACEHOLDER' ELSE 'OK' END AS verdict FROM (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)")
-def title_validation(t: Tables) -> DataFrame:
-    x = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    verdict = (
-        F.when(x.isNull() | (F.trim(x) == ""), "EMPTY").when(F.length(x) > 250, "TOO_LONG").when(x.rlike("(?i)log ?in|sign in"), "LOGIN_WALL").when(x.rlike("(?i)just a moment|captcha"), "CHALLENGE")
-        .when(x.rlike(r"(?i)\b(403|404|500|not found)\b"), "HTTP_ERROR").when(x.rlike("[#*%$]{3}"), "PLACEHOLDER").otherwise("OK")
-    )
-    return t.pages.select("page_id", verdict.alias("verdict"))
-
-
-@query("SELECT event_id, coalesce(map_extract(MAP {'click': 'action', 'view': 'drama', 'error': 'horror'}, event_type)[1], event_type) AS tag FROM events WHERE event_type NOT IN ('signup')")
-def tag_normalize(t: Tables) -> DataFrame:
-    names = F.create_map(*(F.lit(x) for x in ("click", "action", "view", "drama", "error", "horror")))
-    return t.events.where("event_type <> 'signup'").select("event_id", F.coalesce(names[F.col("event_type")], "event_type").alias("tag"))
-
-
 @query("SELECT doc_id, CASE WHEN len(s) >= 12 AND NOT regexp_matches(s, '(?i)captcha|just a moment') THEN substr(s, 1, 20000) END AS synopsis FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM documents)")
 def synopsis_clean(t: Tables) -> DataFrame:
     s = F.trim(F.regexp_replace(F.regexp_replace("text", "<[^>]*>", " "), r"\s+", " "))
     return t.documents.select("doc_id", s.alias("s")).select("doc_id", F.when((F.length("s") >= 12) & ~F.col("s").rlike("(?i)captcha|just a moment"), F.substring("s", 1, 20000)).alias("synopsis"))
 
 
-sql("metadata_merge", """
-SELECT d.doc_id, CASE WHEN l.quality = 1 AND d.n_chars >= coalesce(x.n_chars, 0) THEN d.text ELSE coalesce(x.text, d.text) END AS text, coalesce(d.lang, x.lang) AS lang
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN documents x ON x.doc_id = d.doc_id + 1""")
+@query("""
+WITH x AS (SELECT a.doc_id, a.source AS old, a.doc_id % 4 = 0 AS guarded, a.doc_id % 3 = 0 AS checked, (a.doc_id % 7)::INTEGER AS rank, b.lang AS new, (b.doc_id % 5)::INTEGER AS nrank, a.text AS old_text, b.text AS new_text
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, CASE WHEN trim(coalesce(new, '')) = '' OR guarded OR (checked AND nrank >= rank) THEN old ELSE trim(new) END AS value,
+  CASE WHEN guarded OR len(trim(coalesce(new_text, ''))) < 12 OR (checked AND len(trim(new_text)) < len(old_text)) THEN old_text ELSE trim(new_text) END AS synopsis,
+  array_to_string(list_distinct_ordered, '|') AS tags FROM (SELECT *, CASE WHEN old = new THEN [old] ELSE list_filter([old, new], lambda v: v IS NOT NULL) END AS list_distinct_ordered FROM x)""")
+def metadata_merge(t: Tables) -> DataFrame:
+    """A stored record and an incoming one by field: protected ones stay, validated ones give way to better ranks, longer synopses win, tags are united."""
+    d = t.documents
+    new = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("new"), (F.col("doc_id") % 5).cast("int").alias("nrank"), F.trim("text").alias("new_text"))
+    k = F.col("doc_id")
+    field = F.struct(F.col("source").alias("value"), (k % 4 == 0).alias("protected"), (k % 3 == 0).alias("validated"), (k % 7).cast("int").alias("rank"))
+    x = d.select("doc_id", F.col("source").alias("old"), F.col("text").alias("old_text"), field.alias("f")).join(new, "doc_id")
+    keeps = F.col("f.protected") | (F.length(F.coalesce("new_text", F.lit(""))) < 12) | (F.col("f.validated") & (F.length("new_text") < F.length("old_text")))
+    tags = F.array_distinct(F.filter(F.array("old", "new"), lambda v: v.isNotNull()))
+    return x.select("doc_id", rules.merged_field(F.col("f"), F.col("new"), F.col("nrank"))["value"].alias("value"), F.when(keeps, F.col("old_text")).otherwise(F.col("new_text")).alias("synopsis"), F.array_join(tags, "|").alias("tags"))
+
+
+_ACCENTS = ("àáâãäåèéêëìíîïòóôõöùúûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
 
 
 @query("SELECT c_custkey, trim(translate(lower(c_name || ' ' || c_mktsegment), 'àáâãäåèéêëìíîïòóôõöùúûüçñ', 'aaaaaaeeeeiiiiooooouuuucn')) AS search_text FROM customer")
 def accent_fold_search_text(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", F.trim(F.translate(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")), *fn.FOLD)).alias("search_text"))
+    return t.customer.select("c_custkey", F.trim(F.translate(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")), *_ACCENTS)).alias("search_text"))
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -226,28 +251,6 @@ def content_hash_dedup(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '/en/') THEN 'WORK' WHEN regexp_matches(url, '[?]page=[0-9]+') THEN 'LIST' WHEN regexp_matches(url, '[.]html$') THEN 'CHAPTER' WHEN regexp_matches(url, '#') THEN 'ANCHOR' ELSE 'OTHER' END AS class FROM pages")
-def url_class(t: Tables) -> DataFrame:
-    u = F.col("url")
-    return t.pages.select("page_id", F.when(u.rlike("/en/"), "WORK").when(u.rlike("[?]page=[0-9]+"), "LIST").when(u.rlike("[.]html$"), "CHAPTER").when(u.rlike("#"), "ANCHOR").otherwise("OTHER").alias("class"))
-
-
-_CODE = "CASE CAST(event_id AS INT) % 7 WHEN 0 THEN 'HTTP_429' WHEN 1 THEN 'HTTP_404' WHEN 2 THEN 'TIMEOUT' WHEN 3 THEN 'HTTP_5XX' WHEN 4 THEN 'PARSE' WHEN 5 THEN 'DB' ELSE 'UNKNOWN' END"
-sql("retry_decision", f"""
-SELECT event_id, code, CASE WHEN code IN ('HTTP_404', 'PARSE') OR attempts >= budget THEN 'GIVE_UP' ELSE 'RETRY' END AS decision, CASE WHEN code = 'HTTP_429' THEN 90 ELSE CAST(least(300, 30 * power(2, attempts)) AS INT) END AS delay_s
-FROM (SELECT event_id, {_CODE} AS code, CAST(user_id AS INT) % 6 AS attempts, CASE WHEN event_type = 'error' THEN 3 ELSE 5 END AS budget FROM events) x""")
-sql("block_class", """
-SELECT page_id, CASE WHEN st = 403 AND html LIKE '%captcha%' THEN 'CHALLENGE' WHEN st = 403 THEN 'FORBIDDEN' WHEN st = 429 THEN 'RATE_LIMITED' WHEN st >= 500 THEN 'UPSTREAM' WHEN length(html) < 700 THEN 'EMPTY_BODY' ELSE 'NONE' END AS class
-FROM (SELECT page_id, html, CASE CAST(page_id AS INT) % 5 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 502 ELSE 200 END AS st FROM pages) x""")
-
-
-@query()
-def sql_fingerprint(t: Tables) -> DataFrame:
-    """Verb and first table of statements, here of statements made from the nations' names."""
-    s = F.concat(F.element_at(F.array(*map(F.lit, ["SELECT * FROM ", "UPDATE ", "DELETE FROM ", "INSERT INTO "])), F.col("n_nationkey") % 4 + 1), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit(" WHERE id = 1"))
-    return t.nation.select("n_nationkey", F.concat_ws(":", F.upper(F.regexp_extract(s, r"^\s*(\w+)", 1)), F.regexp_extract(s, r"(?i)(?:from|update|into)\s+(\w+)", 1)).alias("fingerprint"))
-
-
 sql("health_ladder", "SELECT user_id, CASE WHEN e > 0.5 THEN 'CRITICAL' WHEN e > 0.22 THEN 'DEGRADED' WHEN n < 5 THEN 'UNKNOWN' ELSE 'HEALTHY' END AS verdict FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) / count(*) AS e FROM events GROUP BY user_id) x")
 
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import slugify, strip_html
+from shelfmark.functions.text import strip_html
+from shelfmark.functions.titles import slugify
 
 #: Rows of a page of a listing; a shorter page is the last.
 PAGE = 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -18,8 +19,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    store, at = _path(spark, path)
+    return store.getFileStatus(at).isDirectory()
 
 
 def dedup(events: DataFrame, key: str = "event_id", wait: str = "10 minutes") -> DataFrame:
@@ -36,17 +37,35 @@ def replay(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what there is and returns its result: as Parquet files, or the final table in complete mode."""
     spark = stream.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = root or "file://" + tempfile.mkdtemp(prefix="shelfmark-stream-")
     out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    remove = lambda path: _path(spark, path)[0].delete(_path(spark, path)[1], True)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{out}/data")
+    def write(batch: DataFrame, number: int) -> None:
+        """A folder for each micro-batch: one that runs again replaces its own rows. In complete mode the last has all."""
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number if mode == 'append' else 0}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    try:
+        q.awaitTermination()
+    finally:
+        remove(f"{out}/state")
+    atexit.register(_quietly, remove, out)
+    return spark.read.schema(stream.schema).option("basePath", f"{out}/data").parquet(f"{out}/data").select(*stream.columns)
+
+
+def _quietly(f, *of) -> None:
+    try:
+        f(*of)
+    except Exception:  # noqa: BLE001  the session has ended
+        return
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def first_events(spark: SparkSession, path: str) -> DataFrame:

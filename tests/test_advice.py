@@ -19,23 +19,20 @@ def test_fuzzy_match_takes_all_odd_keys(spark, tmp_path):
         scores = sorted(((2 * len(a & grams(v)) / (len(a) + len(grams(v))), v) for w, v in names.items() if w % 2 == 0), reverse=True)
         if scores[0][0] >= 0.86 and scores[0][0] - scores[1][0] >= 0.04:
             want.add((names[k], scores[0][1], round(scores[0][0], 9)))
-    got = {tuple(r) for r in QUERIES["trigram_fuzzy_match_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in QUERIES["trigram_fuzzy_match"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 3
 
 
 def test_coverage_has_no_caps(spark):
-    """On the smallest tables: every mapping has a state, every pair without one is found."""
+    """On the smallest tables: every mapping has a state; every work has all sources, and every gap is counted."""
     from oracle import connect
 
     sf = "/root/testdata/sf0.001"
     duck = connect(sf)
-    states = {(r.source, r.work): r.state for r in QUERIES["mapping_states"](spark, sf).collect()}
-    assert set(states) == set(duck.sql("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem").fetchall())
-    capped = {(r.source, r.work): r.state for r in QUERIES["coverage_matrix"](spark, sf).collect()}
-    both = capped.keys() & states.keys()
-    assert len(states) > len(both) > 0 and all(capped[k] == states[k] for k in both)
-    assert {k for k, v in capped.items() if v in ("FAILED", "STALE", "MAPPED")} == both
+    assert {(r.source, r.work) for r in QUERIES["mapping_states"](spark, sf).collect()} == set(duck.sql("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem").fetchall())
     works, sources = ({k for (k,) in duck.sql(f"SELECT {c} FROM {t}").fetchall()} for c, t in (("c_custkey", "customer"), ("s_suppkey", "supplier")))
     covered = set(duck.sql("SELECT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall())
-    got = [tuple(r) for r in QUERIES["uncovered_pairs"](spark, sf).collect()]
-    assert len(got) == len(set(got)) and set(got) == {(w, s) for w in works for s in sources} - covered
+    open_ = {w: sorted(s for s in sources if (w, s) not in covered) for w in works}
+    assert {tuple(r) for r in QUERIES["uncovered_sources"](spark, sf).collect()} == {(w, len(s), s[0]) for w, s in open_.items() if s}
+    total = duck.sql("SELECT (SELECT count(*) FROM part) * (SELECT count(*) FROM supplier)").fetchall()[0][0]
+    assert sum(r.sources for r in QUERIES["coverage_matrix"](spark, sf).collect()) == total

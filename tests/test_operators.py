@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as fn
-from shelfmark.operators import folds, ranking, sequences, writes
+from shelfmark.operators import ranking, sequences, writes
 from shelfmark.operators.builder import Query
 from shelfmark.sources.catalog import Procedures, page_after, settings_map, works
 
@@ -44,36 +44,11 @@ def test_builder(spark):
     assert [r.id for r in q.order("v").df().collect()] == [1, 2]
 
 
-def test_chapter_identity(spark):
-    labels = ["28", "28.0", "28.00", "28.1", "28.10", "Special 1", None]
-    got = [r.c for r in spark.createDataFrame([(i, s) for i, s in enumerate(labels)], "i int, s string").coalesce(1).select(fn.chapter_identity("s", F.lit("en"), F.lit(None).cast("string")).alias("c")).collect()]
-    assert got[0].key == got[1].key == got[2].key and len({g.key for g in got[2:]}) == 5
-    assert got[0].sort_key < got[3].sort_key and got[5].kind == "special"
-
-
-def test_matching(spark):
-    pairs = [("Solo Levelling", "solo-levelling", []), ("A Work Season 2", "A Work", []), ("One Two", "Other", ["Other"]), ("Sololevelling", "Solo Levelling", []), ("Ação", "acao", []), ("", "x", [])]
-    got = [r.m.method for r in spark.createDataFrame(pairs, "a string, b string, n array<string>").coalesce(1).select(fn.match_cascade("a", "b", "n").alias("m")).collect()]
-    assert got == ["EXACT", "GUARDED", "ALIAS_EXACT", "COMPACT", "EXACT", "NONE"]
-    assert fn._dice("night", "nacht") == 0.25 and fn._dice("a", "b") == 0.0 and fn._dice(None, "b") is None
-
-
 def test_aliases(spark):
     df = spark.createDataFrame([("C", ["C++", "c ++", "C Sharp", "C", "", None, "進撃"])], "p string, a array<string>")
     assert df.select(fn.merge_aliases("p", "a")).first()[0] == ["C++", "C Sharp", "進撃"]
 
 
-def test_folds(spark):
-    s = spark.createDataFrame([("a", i, 200.0 if i < 20 else 10.0) for i in range(60)] + [("b", 0, None)], "k string, i int, v double")
-    assert [(r.k, r.tier) for r in folds.ewma_tiers(s, "k", ["i"], "v").collect()] == [("a", "FAST")]
-    assert [r.tier for r in folds.ewma_tiers(s.where("i < 20"), "k", ["i"], "v").collect()] == ["SLOW"]
-    e = spark.sql("SELECT 'a' AS k, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 10) AS at, id, id > 5 AS ok FROM range(12)")
-    got = folds.breakers(e, "k", ["id"], "at", "ok").first()
-    assert got.state == "CLOSED" and got.refused == 5
-    assert folds.rate_limits(e, "k", ["id"], "ok").first().rate == pytest.approx(4 * 0.8**6)
-    assert folds.fair_allocation({"a": 6, "b": 3, "c": 0}, 6) == {"a": 4, "b": 2, "c": 0}
-
-
 def test_sources(spark):
     p = spark.createDataFrame([(1, "https://a.org/x", "<h1>The <b>Name</b></h1><a href=\"/1\">x</a>"), (2, None, None)], "page_id int, url string, html string")
     got = {r.page_id: r for r in works(p).collect()}

@@ -35,6 +35,21 @@ def test_entry(spark):
 
 def test_plans_hold_no_cross_product(spark):
     """Pairs of large tables are never all compared."""
-    for name in ("trigram_fuzzy_match", "frontier_antijoin", "gap_cover_interval_join", "prev_max_publish", "lateral_top1"):
+    for name in ("trigram_fuzzy_match", "publication_barrier", "latency_nearest_rank", "frontier_antijoin", "gap_cover_interval_join", "prev_max_publish", "lateral_top1"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_no_window_over_a_whole_table(spark):
+    """What is ranked over all rows is cut down by a limit or a count before."""
+    for name in ("latency_nearest_rank", "page_merge_dedup", "top3_share", "sequence_gaps", "monotone_publish"):
+        lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                assert any(k in " ".join(lines[i + 1 : i + 5]) for k in ("TakeOrderedAndProject", "HashAggregate", "LocalLimit", "GlobalLimit")), (name, lines[i : i + 5])
+
+
+def test_views_of_the_caller_stay(spark):
+    spark.range(3).createOrReplaceTempView("orders")
+    assert QUERIES["semi_exists"](spark, SF).count() >= 0 and spark.table("orders").columns == ["id"]
+    spark.catalog.dropTempView("orders")
