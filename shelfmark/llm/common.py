@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast; a larger one is joined by a shuffle.
@@ -69,6 +69,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def digest_of(text: Column) -> Column:
+    """128 bits that stand for a text (null: empty): no two texts of a corpus have the same, as good as surely."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for a broadcast if it has at most so many rows (counted here), else df as it is. df is cheap to read."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

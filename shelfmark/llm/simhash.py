@@ -2,33 +2,42 @@
 
 A fingerprint of 64 bits has eight bytes. If two fingerprints differ in at most r bits, then at most r of their bytes
 differ, so they share at least 8 - r bytes at their own positions. The index holds, for every choice of that many
-positions (out of the first `positions`), the bytes found there; a pair's tally of shared positional bytes reaches the
-guaranteed minimum exactly if the pair meets in one of these lists. Whatever meets is verified by counting bits.
+positions (out of the first `positions`), the bytes found there: a pair meets in one of these lists exactly if its tally
+of shared positional bytes reaches the guaranteed minimum, so the lists are the count filter. Whatever meets is verified
+by counting bits.
+
+Texts whose shingle sets are 0.8 alike differ in ten of 64 bits and share no guaranteed byte. For these the index holds
+values of a second fingerprint: the minima of the shingles' hashes under VALUES orders, each of which two texts share
+with the probability of their similarity. KEY values at their positions make a list, and the tally of shared positional
+values decides which texts may be alike: what such pairs connect is a cluster, within which all are held against all by
+their shingles, block by block, in the tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import small, written
+from shelfmark.llm.common import digest_of, small, written
 from shelfmark.llm.graph import components
 
 #: Fingerprints of one list that a task compares at once; a longer list is dealt out as pairs of blocks.
 BLOCK = 2048
-#: Shingles that are hashed at once, so that memory doesn't grow with a text.
-CHUNK = 1 << 16
-#: Prefixes with the same shingle beyond which it is ordered behind all others; rounds that verify neighbours only.
-COMMON, CHAINS = 128, 2
-#: Orders in which neighbours are taken in a round.
-ORDERS = 4
+#: Shingles that are hashed at once, so that memory doesn't grow with a text; those that meet all orders at once.
+CHUNK, ORDERED = 1 << 16, 1 << 12
+#: Minwise values of a text, and how many make a list's key: of pairs at 0.8 all but 6 in 10 million share a list.
+VALUES, KEY = 60, 3
+#: Shared values that a pair needs: pairs at 0.8 have fewer with a probability under 1 in a million.
+TALLY = 32
+#: Texts of a block whose shingles a task compares; shingles in so many of them are counted by a matrix product.
+SETS, OFTEN = 1024, 64
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"order", i) | 1 for i in range(VALUES)], dtype=np.uint64)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -45,15 +54,34 @@ def shingle_hashes(words: list[bytes], width: int, seed: int) -> Iterator[np.nda
         yield np.array([h(joined[b:e], seed) for b, e in zip(begins[k : k + CHUNK], ends[k : k + CHUNK], strict=False)], dtype=np.uint64)
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set."""
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.concatenate([np.bincount(octets[:, p], minlength=256) @ _BITS for p in range(8)])
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(words: list[bytes], width: int, seed: int) -> int:
     """Bit b is 1 if it is set in over half of the shingles' hashes; 0 without words."""
     ones, n = np.zeros(64, dtype=np.int64), 0
     for chunk in shingle_hashes(words, width, seed):
         n += len(chunk)
-        octets = chunk.astype("<u8").view(np.uint8).reshape(-1, 8)
-        for p in range(8):
-            ones[8 * p : 8 * p + 8] += np.bincount(octets[:, p], minlength=256) @ _BITS
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += _ones(chunk)
+    return _majority(ones, n)
+
+
+def marks(words: list[bytes], width: int, seed: int) -> tuple[int, np.ndarray | None]:
+    """The fingerprint, and the least of the shingles' hashes in each of VALUES orders; None without words."""
+    ones, n, least = np.zeros(64, dtype=np.int64), 0, np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for chunk in shingle_hashes(words, width, seed):
+        n += len(chunk)
+        ones += _ones(chunk)
+        for k in range(0, len(chunk), ORDERED):
+            least = np.minimum(least, (chunk[k : k + ORDERED, None] * _MULTIPLIERS).min(axis=0))
+    return _majority(ones, n), (least >> np.uint64(32)).astype(np.uint32).view(np.int32) if n else None
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -186,137 +214,195 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(np.concatenate([*shingle_hashes(w, width, 0), np.zeros(0, dtype=np.uint64)])).view(np.int64) for w in map(words_of, batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+        found = [marks(w, width, seed) for w in map(words_of, batch.column(1).to_pylist())]
+        prints = np.array([f for f, _ in found], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array([m for _, m in found], pa.list_(pa.int32()))], names=["digest", "fp", "m"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    for sets in _sets(batches, width):
-        held = [np.sort(s) for s in sets.column(1).to_numpy(zero_copy_only=False)]
-        prefixes = [s[: _prefix(len(s), similarity)] for s in held]
-        yield pa.RecordBatch.from_arrays([sets.column(0), pa.array([len(s) for s in held], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "n", "p"])
+def _sets(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, becomes its set of shingles."""
+    for batch in batches:
+        sets = [np.unique(np.concatenate([*shingle_hashes(w, width, seed), np.zeros(0, dtype=np.uint64)])).view(np.int64) for w in map(words_of, batch.column(batch.num_columns - 1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "s"])
 
 
-def _prefix(n: int, similarity: float) -> int:
-    """Of any set with a similar one, so many first elements (in one order of all elements) hold one of the other's."""
-    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows that follow one another in a list; rows (key, node) come sorted."""
+    held = np.zeros((2, 0), dtype=np.int64)
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+        same = rows[0, 1:] == rows[0, :-1]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[1, :-1][same]), pa.array(rows[1, 1:][same])], names=["u", "v"])
+        held = rows[:, -1:]
+
+
+def _neighbours(lists: DataFrame) -> DataFrame:
+    """Links of neighbours in each list. Lists are cut where partitions end, so a long one is no task's own."""
+    return lists.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_adjacent, "u long, v long")
+
+
+def _shared_values(m: np.ndarray, few: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which of few and many share enough values."""
+    return np.concatenate([(m[few[k : k + 64], None] == m[None, many]).sum(axis=2) >= TALLY for k in range(0, len(few), 64)])
+
+
+def _alike(values: np.ndarray, sizes: np.ndarray, few: np.ndarray, many: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of few and many are as similar as asked for, by the sets that lie one after the other in values."""
+    n = len(sizes)
+    doc = np.repeat(np.arange(n), sizes)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = np.zeros(n * n, dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    doc, times, begins = doc[order], times, np.cumsum(times) - times
+    for t in np.unique(times[(times > 1) & (times < OFTEN)]):
+        rows = doc[begins[times == t][:, None] + np.arange(t)]
+        for k in range(0, len(rows), 1 + (1 << 22) // (t * t)):
+            part = rows[k : k + 1 + (1 << 22) // (t * t)]
+            shared += np.bincount((part[:, :, None] * n + part[:, None, :]).ravel(), minlength=n * n)
+    shared = shared.reshape(n, n)
+    often = np.flatnonzero(times >= OFTEN)
+    for k in range(0, len(often), 2048):
+        x = np.zeros((n, len(often[k : k + 2048])), dtype=np.float32)
+        for j, c in enumerate(often[k : k + 2048]):
+            x[doc[begins[c] : begins[c] + times[c]], j] = 1
+        shared += x @ x.T
+    shared = shared[np.ix_(few, many)].astype(np.float64)
+    return shared >= similarity * (sizes[few][:, None] + sizes[many] - shared) - 1e-9
+
+
+def _forest(near: np.ndarray, few: np.ndarray, many: np.ndarray, component: np.ndarray) -> tuple[list, list]:
+    """As many of the near pairs as it takes to connect all components that they connect."""
+    _, label = np.unique(component, return_inverse=True)
+    us, vs = [], []
+    for i, row in zip(few, near, strict=True):
+        met = many[row]
+        found, first = np.unique(label[met], return_index=True)
+        new = found != label[i]
+        if new.any():
+            us += [i] * int(new.sum())
+            vs += met[first[new]].tolist()
+            label[np.isin(label, found[new])] = label[i]
+    return us, vs
+
+
+def _compare(similarity: float | None):
+    """Links of rows (key, cell, major, component, node, values), which come by cell: a spanning forest of what is alike.
+
+    Rows of the list's largest component (major) meet all others, and without these the others meet one another. By
+    shared values, or with `similarity` by sets.
+    """
 
+    def of(table: pa.Table) -> pa.RecordBatch:
+        key, cell, major, component, node = (table.column(i).to_numpy().astype(np.int64) for i in range(5))
+        lists = table.column(5).combine_chunks()
+        sizes, values = np.asarray(lists.value_lengths()).astype(np.int64), lists.flatten().to_numpy()
+        ends = np.cumsum(sizes)
+        begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+        us, vs = [], []
+        for b, n in zip(begins.tolist(), np.diff(np.append(begins, len(key))).tolist(), strict=True):
+            if n < 2:
+                continue
+            few = np.flatnonzero(major[b : b + n] == 0)
+            many = np.flatnonzero(major[b : b + n] == 1)
+            many = many if len(many) else few
+            part = values[ends[b] - sizes[b] : ends[b + n - 1]]
+            near = _shared_values(part.reshape(n, VALUES), few, many) if similarity is None else _alike(part, sizes[b : b + n], few, many, similarity)
+            u, v = _forest(near, few, many, component[b : b + n])
+            us.append(node[b + np.array(u, dtype=np.int64)])
+            vs.append(node[b + np.array(v, dtype=np.int64)])
+        none = np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*us, none])), pa.array(np.concatenate([*vs, none]))], names=["u", "v"])
 
-def _listed(prefixes: DataFrame) -> DataFrame:
-    """(h, node, n, i, df) of the prefixes' elements that several sets have: i is the element's place, df how many have it."""
-    rows = prefixes.select("node", "n", F.posexplode("p").alias("i", "h"))
-    return written(rows.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1"), "listed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = int(((key == key[-1]) & (cell == cell[-1])).argmax())  # where the last cell begins; it may go on
+            other = held and (held[-1].column(0)[0], held[-1].column(1)[0]) != (batch.column(0)[0], batch.column(1)[0])
+            if held and (cut or other) or cut:
+                yield of(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield of(pa.Table.from_batches(held))
+
+    return run
 
 
-def _meeting(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(h, node, n, i) of all prefix elements that can join similar sets; texts: (node, text), nodes may repeat.
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """(key, cell, major, component, node) of rows (key, component, node), for keys of several components.
 
-    Elements are ordered by hash, but those in over COMMON prefixes come last, so that a common passage makes no
-    long lists. Any order that is the same for all sets finds all pairs; this one only sets the cost.
+    A long list is dealt out: blocks of its largest component meet blocks of the others, and these one another.
     """
-    found = texts.mapInArrow(lambda b: _prefixes(b, width, similarity), "node long, n int, p array<long>")
-    prefixes = written(found.dropDuplicates(["node"]), "prefixes")
-    listed = _listed(prefixes)
-    often = written(listed.where(F.col("df") > COMMON).select("h").distinct(), "often")
-    if often.isEmpty():
-        return listed
-    sets = lambda nodes: texts.join(small(written(nodes, "held")), "node", "left_semi").mapInArrow(lambda b: _sets(b, width), "node long, s array<long>").dropDuplicates(["node"]).select("node", F.size("s").alias("n"), F.explode("s").alias("h"))
-    whole = sets(listed.join(small(often), "h", "left_semi").select("node").distinct())
-    often = written(often.union(whole.groupBy("h").count().where(F.col("count") > COMMON).select("h")).distinct(), "common")
-    exploded = prefixes.select("node", F.explode("p").alias("h"))
-    moved = written(exploded.join(small(often), "h", "left_semi").select("node").distinct(), "moved")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("late", "h"))
-    late = sets(moved).join(small(often.withColumn("late", F.lit(True))), "h", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    most = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
-    anew = late.withColumn("i", place).where(F.col("i") <= most).groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "h")))["h"].alias("p"))
-    return _listed(prefixes.join(small(moved), "node", "left_anti").unionByName(anew))
-
-
-def _crossing(listed: DataFrame, joined: DataFrame) -> DataFrame:
-    """listed with each node's component, without the lists that hold one component only."""
-    rows = listed.join(small(joined.toDF("node", "component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of = Window.partitionBy("h")
-    return written(rows.withColumn("_least", F.min("component").over(of)).withColumn("_most", F.max("component").over(of)).where("_least <> _most").drop("_least", "_most"), "crossing")
-
-
-def _pair(u, v) -> list:
-    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
-
-
-def _chained(crossing: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Links (u, v) of neighbours in each list, in one of ORDERS orders: a few for each node, as most lists of a group agree."""
-    along = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), F.pmod("h", F.lit(ORDERS)), "node"), "node")
-    kept = ("node", "n", "i", "component")
-    after = crossing.select("h", *kept, *(F.lead(c).over(along).alias(f"b_{c}") for c in kept)).withColumnsRenamed({c: f"a_{c}" for c in kept})
-    return after.where((F.col("a_component") != F.col("b_component")) & _can(similarity)).select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
-
-
-def _can(similarity: float) -> Column:
-    """Whether sets a and b that meet at their places can be similar: no more than the lesser rest is shared behind them."""
-    least = F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-9
-    most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-    return (F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-9) & (most >= least)
-
-
-def _all_pairs(crossing: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of all pairs of two components that meet in a list and can be similar by their sizes and places."""
-    a = crossing.select("h", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "i", "component")))
-    b = crossing.select("h", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "i", "component")))
-    other = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
-    return a.join(b, "h").where(other & _can(similarity)).select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
-
-
-def duplicate_rows(docs: DataFrame, width: int = 2, seeds: tuple[int, ...] = (42, 1), radius: int = 5, verify: int = 5, similarity: float = 0.8, nulls: bool = False) -> DataFrame:
-    """(doc_id, digest) of all texts but one of each group of near-duplicates; digest is xxhash64 of the text.
-
-    Two texts are linked if the sets of their shingles of `verify` words have a Jaccard similarity of at least
-    `similarity`; groups are what links connect, and the text of the smallest doc_id stays. The byte-position index over
-    fingerprints of several seeds joins most copies at little cost. What it can't guarantee comes from an exact prefix
-    join of the shingles: CHAINS times neighbours in its lists are verified, to join large groups by few links, then all
-    pairs of different components that weren't. Equal texts are one node, with its smallest id. Texts
-    without words are never in the result unless they are equal, nor are texts with a null id unless `nulls`: then
-    they take part, and ids come before null.
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    of = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    rest = F.col("n") - F.col("most.n")
+    cut = written(of.select("key", F.col("most.component").alias("largest"), blocks(F.col("most.n")).alias("nb"), blocks(rest).alias("ns"), (rest > 1).alias("others")), "open")
+    major = F.col("component") == F.col("largest")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = F.transform(upto("ns"), lambda o: own("nb") * F.col("ns") + o)
+    other = F.transform(upto("nb"), lambda o: o * F.col("ns") + own("ns"))
+    among = F.transform(upto("ns"), lambda o: (F.col("nb") + F.least(own("ns"), o)) * F.col("ns") + F.greatest(own("ns"), o))
+    cells = F.when(major, one).when(F.col("others"), F.concat(other, among)).otherwise(other)
+    return rows.join(small(cut), "key").select("key", F.explode(cells).alias("cell"), major.cast("int").alias("major"), "component", "node")
+
+
+def duplicate_rows(docs: DataFrame, width: int = 5, seed: int = 42, radius: int = 3, similarity: float = 0.8, nulls: bool = False) -> DataFrame:
+    """(doc_id, digest) of all texts but one of each group of near-duplicates; digest is digest_of the text.
+
+    Two texts are linked if the sets of their shingles of `width` words have a Jaccard similarity of at least
+    `similarity`; groups are what links connect, and the text of the smallest doc_id stays. Candidates come from the
+    byte-position index over fingerprints, which joins close copies, and from its lists of minwise values, which hold
+    all others: neighbours in these lists, then components that still meet in one. Pairs that share enough values make
+    clusters. Each cluster is dealt into blocks; tasks hold all texts of a block against one another by their shingles,
+    then blocks of the largest group that came of it against blocks of all others.
+
+    Equal texts are one node, with its smallest id, told apart by 128 bits. Texts without words are never in the result
+    unless they are equal, nor are texts with a null id unless `nulls`: then they take part, and ids come before null.
+    Null texts count as empty; rows may repeat. An empty table gives an empty result.
     """
-    tagged = docs.where(F.lit(nulls) | F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.xxhash64("text").alias("digest")
-    texts = written(tagged.select("doc_id", digest).groupBy("digest").agg(F.min("doc_id").alias("node")), "texts")
-    prints = [f"fp{i}" for i in range(len(seeds))]
-    printed = fingerprints(tagged.withColumn("digest", F.xxhash64("text")), width, seeds, "digest")
-    nodes = written(printed.groupBy(F.col("id").alias("node")).agg(*(F.first(c).alias(c) for c in prints)).where("fp0 <> 0"), "nodes")
-    links = None
-    for i in range(len(seeds)):
-        found = near_links(nodes.select("node", F.col(f"fp{i}").alias("fp")), radius, positions=8)
-        links = found if links is None else links.union(found)
-    links = written(links.select(*_pair(F.col("u"), F.col("v"))).distinct(), "links")
-    texts_of = tagged.select(digest.alias("node"), "text")
-    listed = _meeting(texts_of, verify, similarity)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = small(written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "linked"))
-        held = texts_of.join(ends, "node", "left_semi")
-        sets = written(held.mapInArrow(lambda b: _sets(b, verify), "node long, s array<long>").dropDuplicates(["node"]), "sets")
-        both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-        common = F.size(F.array_intersect("a", "b"))
-        return written(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "alike")
-
-    alike, tried = verified(links), links
-    # components are numbered by a digest; the group's text with the smallest id stays
+    tagged = docs.where(F.lit(nulls) | F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest_of(F.col("text")))
+    every = written(tagged.select("doc_id", "digest"), "rows")
+    marked = tagged.select("digest", "text").mapInArrow(lambda b: _marked(b, width, seed), "digest binary, fp long, m array<int>").groupBy("digest").agg(F.first("fp").alias("fp"), F.first("m").alias("m"))
+    copies = every.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    nodes = written(marked.join(copies, "digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts, values, worded = nodes.select("node", "digest", "least", "copies"), nodes.select("node", "m"), nodes.where("m is not null")
+    keys = F.array(*(F.xxhash64(F.lit(c), *(F.col("m")[i] for i in range(c, c + KEY))) for c in range(0, VALUES, KEY)))
+    found = worded.select(F.explode(keys).alias("key"), "node")
+    lists = written(found.join(small(written(found.groupBy("key").count().where("count > 1").select("key"), "keys")), "key"), "lists")
+
+    shared = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    met = near_links(worded.select("node", "fp"), radius).unionByName(_neighbours(lists)).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    likely = written(met.join(values.toDF("u", "a"), "u").join(values.toDF("v", "b"), "v").where(shared >= TALLY).select("u", "v"), "likely")
+    labelled = written(lists.join(small(components(likely)), "node", "left").select("key", F.coalesce("component", "node").alias("component"), "node"), "labelled")
+    laid = _dealt(labelled, BLOCK).join(values, "node").select("key", "cell", "major", "component", "node", "m").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    more = written(laid.mapInArrow(_compare(None), "u long, v long"), "more")
+    clusters = components(likely.unionByName(more))
+
+    def verified(cells: DataFrame) -> DataFrame:
+        """Links of rows (key, cell, major, component, node) that are as similar as asked for."""
+        at = cells.join(texts.select("node", F.col("digest").alias("d"), "least"), "node")
+        held = tagged.join(small(written(at, "cells")), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("least")))
+        sets = held.select("key", "cell", "major", "component", "node", "text").mapInArrow(lambda b: _sets(b, width, seed), "key long, cell int, major int, component long, node long, s array<long>")
+        return written(sets.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(similarity), "u long, v long"), "alike")
+
+    blocks = clusters.groupBy(F.col("component").alias("key")).agg(F.ceil(F.count("*") / SETS).cast("int").alias("blocks"))
+    members = written(clusters.select(F.col("component").alias("key"), "node").join(small(written(blocks, "sizes")), "key"), "members")
+    within = members.select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("cell"), F.lit(0).alias("major"), F.col("node").alias("component"), "node")
+    alike = verified(within)
     groups = components(alike)
-    crossing = _crossing(listed, groups)
-    for turn in range(CHAINS + 1):
-        if crossing.isEmpty():
-            break
-        pairs = _chained(crossing, turn, similarity) if turn < CHAINS else _all_pairs(crossing, similarity)
-        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        alike, tried = alike.union(verified(pairs)), tried.union(pairs)
-        groups = components(alike)
-        if turn < CHAINS:
-            crossing = _crossing(crossing.drop("component"), groups)
-    member = texts.join(groups.toDF("digest", "component"), "digest", "left").select("digest", "node", F.coalesce("component", "digest").alias("component"))
-    member = written(member, "member")
-    keep = member.groupBy("component").agg(F.min(F.struct(F.col("node").isNull(), "node", "digest")).alias("best"))
-    kept = member.join(keep, "component").select("digest", F.col("best.node").alias("stays"), F.col("best.digest").alias("as"))
-    every = tagged.select("doc_id", digest)
-    return every.join(kept, "digest").where("not (doc_id <=> stays) or digest <> as").select("doc_id", "digest").distinct()
+    across = members.where("blocks > 1").join(small(groups), "node", "left").select("key", F.coalesce("component", "node").alias("component"), "node")
+    if not across.isEmpty():
+        groups = components(alike.unionByName(verified(_dealt(written(across, "across"), SETS))))
+    member = written(texts.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "member")
+    keep = member.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("best"))
+    lost = F.col("d") != F.col("stays")
+    gone = member.join(keep, "component").select(F.col("digest").alias("d"), "least", "copies", F.col("best.digest").alias("stays")).where(lost | (F.col("copies") > 1))
+    gone = small(written(gone.select("d", "least", lost.alias("lost")), "gone"))
+    return every.join(gone, every.digest == gone.d).where(F.col("lost") | ~F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "digest")

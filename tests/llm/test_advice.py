@@ -30,10 +30,11 @@ def _found(spark, texts):
     return {r.doc_id for r in simhash.duplicate_rows(docs).collect()}
 
 
-@pytest.mark.parametrize("common", [128, 2])
-def test_block_append_and_cut_edits(spark, monkeypatch, common):
-    """Copies with a replaced, appended or cut paragraph; with 2, shingles of the shared passage are ordered behind the others."""
-    monkeypatch.setattr(simhash, "COMMON", common)
+@pytest.mark.parametrize("block", [2048, 2])
+def test_block_append_and_cut_edits(spark, monkeypatch, block):
+    """Copies with a replaced, appended or cut paragraph; with 2, lists and clusters of over two texts are dealt out."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SETS", block)
     rng, texts = np.random.default_rng(3), []
     new = lambda n: [f"w{i}" for i in rng.integers(0, 20_000, n)]
     passage = new(60)
@@ -45,8 +46,10 @@ def test_block_append_and_cut_edits(spark, monkeypatch, common):
     assert len(want) > 30 and _found(spark, texts) == want
 
 
-def test_large_group_whose_closest_texts_fall_short(spark):
+@pytest.mark.parametrize("sets", [1024, 40])
+def test_large_group_whose_closest_texts_fall_short(spark, monkeypatch, sets):
     """A group that hangs together by Jaccard, though not along the least Hamming distances of its fingerprints."""
+    monkeypatch.setattr(simhash, "SETS", sets)
     rng = np.random.default_rng(7)
     base, texts = [f"w{i}" for i in rng.integers(0, 20_000, 400)], []
     for _ in range(250):
