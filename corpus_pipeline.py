@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import small, written
+from shelfmark.llm.common import digest_of, small, written
 from shelfmark.llm.decontam import contaminated
 from shelfmark.llm.mixing import mix
 from shelfmark.llm.quality import classify
@@ -17,46 +17,59 @@ from shelfmark.llm.tokenbin import token_table
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _digest() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def _digest(docs: DataFrame) -> Column:
+    return digest_of(docs.text)
 
 
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs less the rows that have a doc_id and digest of bad, with all their columns."""
-    bad = small(written(bad.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "bad"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_id"]) & (_digest() == bad["_digest"]), "left_anti")
+    bad = small(written(bad.select("doc_id", "digest"), "bad").distinct())
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id) & (_digest(docs) == bad.digest), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scored = classify(docs.withColumn("digest", _digest()), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("digest",))
-    return without(docs, scored.where("not keep"))
+    """Documents that the classifier rejects go.
+
+    As in all stages: null texts count as empty, null ids, languages and sources are values of their own, rows with one
+    id are told apart by their texts and repeated rows share their fate, texts may be of any length, and an empty table
+    gives an empty one. Further columns are kept, whatever their names.
+    """
+    seen = docs.select("doc_id", "text", "source", "lang", _digest(docs).alias("digest"))
+    return without(docs, classify(seen, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("digest",)).where("not keep"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id, a null one if all are."""
-    kept = without(docs, duplicate_rows(docs, nulls=True))
-    twice = written(kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
+    """One document of each group of near-duplicates stays: that of the smallest doc_id, a null one if all are.
+
+    Of rows with equal id and text one stays, too, null ids among them. Texts without words are near nothing but equals.
+    """
+    kept = without(docs, duplicate_rows(docs.select("doc_id", "text"), nulls=True))
+    twice = written(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
-    repeated, twice = kept.doc_id.eqNullSafe(F.col("_id")), small(twice)
+    twice = small(twice)
+    repeated = kept.doc_id.eqNullSafe(twice.doc_id)
     return kept.join(twice, repeated, "left_anti").unionByName(kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; each is judged by its own text, whatever else has its id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = contaminated(docs.select(_digest().alias("doc_id"), "text"), items, threshold=0.8, width=5)
-    leaks = small(written(leaks.select(F.col("doc_id").alias("_leak")).distinct(), "leaks"))
-    return docs.join(leaks, _digest() == leaks["_leak"], "left_anti")
+    leaks = contaminated(docs.select(_digest(docs).alias("doc_id"), "text"), items, threshold=0.8, width=5)
+    leaks = small(written(leaks.select("doc_id"), "leaks").distinct())
+    return docs.join(leaks, _digest(docs) == leaks.doc_id, "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights: a document comes as often as the mix takes its middle word, up to 3 times."""
-    counts = mix(docs.withColumn("digest", _digest()), cycle=(1, 2, 3), most=3, carry=("digest",))
-    times = counts.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    joined = docs.join(times.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (_digest() == F.col("_digest")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Sources come to their target weights: a document comes as often as the mix takes its middle word, up to 3 times.
+
+    Texts without words aren't taken.
+    """
+    counts = mix(docs.select("doc_id", "text", "source", _digest(docs).alias("digest")), cycle=(1, 2, 3), most=3, carry=("digest",))
+    times = counts.groupBy("doc_id", "digest").agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _digest(docs).alias("digest"))  # apart from columns of any name
+    joined = rows.join(times, rows.doc_id.eqNullSafe(times.doc_id) & (rows.digest == times.digest))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
