@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import written
+from shelfmark.llm.common import small, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         order = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("x"))
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         best = both.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).select("u", F.least("m", order(F.col("u")))["x"].alias("to"))
-        best = written(best.where("u <> to"), "best")
+        best = small(written(best.where("u <> to"), "best"))
         by_u, by_v = best.toDF("u", "to_u"), best.toDF("v", "to_v")
         now = written(
             now.join(by_u, "u", "left").join(by_v, "v", "left")

@@ -180,17 +180,18 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     when = F.col(time_col).cast("timestamp") if time_col else F.lit(None).cast("timestamp")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", when.alias("fetched"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("size"))
-    keyed = rows.where(F.col("size") >= min_bytes).select("page_id", "sha1")
+    keyed = written(rows.where(F.col("size") >= min_bytes).select("page_id", "sha1"), "digests")
     repeated = keyed.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("sha1", "newest")
-    repeated = small(written(repeated, "repeated"))
-    joined = rows.join(repeated, (rows.sha1 == repeated.sha1) & (rows.size >= min_bytes), "left")
-    revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
-    made = joined.select("page_id", "url", "html", "fetched", revisit.alias("revisit"), F.when(revisit, F.col("newest")).alias("refers_to"))
+    # digests meet page ids without the payloads, and these only what revisits another page
+    revisits = keyed.join(small(written(repeated, "repeated")), "sha1").where(F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")))
+    revisits = small(written(revisits.select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "newest").distinct(), "revisits"))
+    joined = rows.join(revisits, rows.page_id.eqNullSafe(revisits.p) & (rows.sha1 == revisits.s), "left")
+    made = joined.select("page_id", "url", "html", "fetched", F.col("newest").isNotNull().alias("revisit"), F.col("newest").alias("refers_to"))
     return folder, written(made.mapInArrow(_write(folder, archive_bytes), "archive string, bytes long, records long"), "manifest")
 
 
 def merged_index(folder: str, manifest: DataFrame) -> DataFrame:
-    """The captures of all archives (_CAPTURE) in the order of url_key, timestamp and page_id; part numbers the parts."""
+    """The captures of all archives (_CAPTURE) in the order of url_key, timestamp and page_id, part after part."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem

@@ -91,3 +91,41 @@ def test_pii_context_does_not_depend_on_the_kind(spark):
     texts = [(i, f"id 12345 handle user{i}@mail.com now") for i in range(12)] + [(100, "id 12345 handle joe77_at_site now"), (101, "id 1 handle joe77_at_site now"), (102, f"id {'9' * 200} handle joe78_at_site now")]
     got = {r.doc_id: r.spans for r in pii.scan(docs(spark, texts)).collect()}
     assert got[100] == "email:16:29" and got[101] == "email:12:25" and got[102] == "email:211:224"
+
+
+def test_quality_by_brute_force(spark):
+    """Rates, strengths and scores of every row again from the formulas, given the document model's scores."""
+    from shelfmark.llm import quality
+
+    rng = np.random.default_rng(8)
+    texts = [(i, "word " * int(rng.integers(1, 60)) + "#!" * int(rng.integers(0, 30) * (i % 3 == 0))) for i in range(300)] + [(None, "no id"), (7, "again " * 9), (301, None), (302, "")]
+    rows = [(i, t, f"l{rng.integers(3)}" if k % 9 else None, f"s{min(5, int(rng.geometric(0.4)))}" if k % 11 else None) for k, (i, t) in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = {i: int(i % 3 > 0) for i in range(150)}
+    table = spark.createDataFrame([*labels.items(), (7, 0), (None, 1), (200, None)], "doc_id long, quality int")
+    known = {**{k: [v] for k, v in labels.items()}}
+    known[7] = known[7] + [0]
+    got = quality.classify(d.withColumn("at", d.source), table, carry=("at", "lang", "text")).collect()
+    assert len(got) == len(rows)
+    e = np.array([np.mean(known[r.doc_id]) if r.doc_id in known else r.doc_score for r in got])
+    host, path = [r["at"] for r in got], [(r["at"], r.lang) for r in got]
+    sums = lambda keys: {k: (sum(k == x for x in keys), sum(v for x, v in zip(keys, e, strict=True) if x == k)) for k in set(keys)}
+    hosts, paths = sums(host), sums(path)
+    mu = (e.sum() + 1) / (len(e) + 2)
+
+    def strength(groups, prior):
+        many = [(n, s, prior(k)) for k, (n, s) in groups.items() if n >= 2]
+        n = sum(x[0] for x in many)
+        between = max(1e-6, (sum(a * (s / a - p) ** 2 for a, s, p in many) - sum(p * (1 - p) for _, _, p in many)) / n)
+        return min(1e4, max(1.0, np.mean([p * (1 - p) for _, _, p in many]) / between - 1))
+
+    kh = strength(hosts, lambda k: mu)
+    kp = strength(paths, lambda k: (hosts[k[0]][1] + kh * mu) / (hosts[k[0]][0] + kh))
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    for r, own in zip(got, e, strict=True):
+        n, s = hosts[r["at"]]
+        h = (max(0.0, s - own) + kh * mu) / (n - 1 + kh)
+        n, s = paths[r["at"], r.lang]
+        p = (max(0.0, s - own) + kp * h) / (n - 1 + kp)
+        score = 1 / (1 + np.exp(-(logit(r.doc_score) + logit(p) - np.log(mu / (1 - mu)))))
+        assert abs(r.host_rate - h) < 1e-9 and abs(r.path_rate - p) < 1e-9 and abs(r.score - score) < 1e-9 and r.keep == (r.score >= 0.5)

@@ -53,3 +53,34 @@ def test_tokens_cover_the_mix(stages):
     rows = sorted(stages[4][1].collect(), key=lambda r: r.start)
     assert len(rows) == stages[4][0].count() and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, digest string, _id long, _k int, _copies int, copies int, row string, node long, d string"
+
+
+def _odd(spark):
+    clean = [" ".join(f"word{(k * 7 + i * 3) % 400} and" for i in range(60)) + "." for k in range(12)]
+    rows = [(k, t, "en" if k % 2 else None, f"s{k % 3}" if k % 4 else None) for k, t in enumerate(clean)]
+    rows += [(None, None, None, None), (None, clean[3], "en", "s0"), (50, "", "en", "s1"), (51, " \n ", "en", "s1"), (52, "x " * 40_000, "en", "s2"), (4, clean[4], "en", "s1"), (4, clean[4], "en", "s1"), (53, "long " + "z" * 200_000, "en", "s0"), (None, "one two three four five six seven eight nine", "en", "s0")]
+    return spark.createDataFrame([(*r, None, "x", 1, 2, 3, 4, "r", 5, "d") for r in rows], ODD)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows(spark, k):
+    """Nulls in every column, empty and long texts, repeated rows, columns of clashing names, and an empty table."""
+    import corpus_pipeline
+
+    docs = _odd(spark)
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    given = [tuple(r) for r in docs.collect()]
+    if k < 4:
+        assert out.columns == docs.columns and all(tuple(r) in given for r in rows)
+    else:
+        assert len(rows) == len(given) and sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
+    if name.startswith("simhash"):
+        assert len([r for r in rows if r.doc_id == 4]) == 1 and len([r for r in rows if not (r.text or "").strip()]) == 2
+        assert [r.doc_id for r in rows if r.text and r.text == given[3][1]] == [3]
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.count() == 0 and empty.columns == out.columns
