@@ -97,7 +97,8 @@ def bigrams(c: Column) -> Column:
     """Runs of two characters, each with how often it has come so far, so that sets of them are multisets."""
     n = F.greatest(F.length(c) - 1, F.lit(0))
     runs = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(runs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    # bound once: what a lambda names from outside is made again for each element
+    return F.transform(F.array(F.array_sort(runs)), lambda r: F.transform(r, lambda g, i: F.concat(g, (i - F.array_position(r, g)).cast("string"))))[0]
 
 
 def dice_bigram(a: Column, b: Column) -> Column:
@@ -152,9 +153,10 @@ def synonyms(norm: Column) -> Column:
     none = F.array().cast("array<string>")
     out = none
     for group in reversed(SYNONYMS):
-        plain = (" ".join(w for w in re.sub(r"[^\w\s]", " ", n).split() if w not in NOISE) for n in group)
+        plain = [" ".join(w for w in re.sub(r"[^\w\s]", " ", n).split() if w not in NOISE) for n in group]
         names = F.array(*map(F.lit, plain))
-        out = F.when(F.exists(names, lambda n: squeeze(n) == squeeze(norm)), F.filter(names, lambda n: squeeze(n) != squeeze(norm))).otherwise(out)
+        tight = F.array(*(F.lit(n.replace(" ", "")) for n in plain))
+        out = F.when(F.array_contains(tight, squeeze(norm)), F.filter(names, lambda n: squeeze(n) != squeeze(norm))).otherwise(out)
     return out
 
 
