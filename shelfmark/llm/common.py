@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of text in such a table.
+BROADCAST_BYTES = 64 << 20
 
 #: Code points that separate words, as a regex class: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         if now.isDefined():
             return now.get()
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):  # one machine; local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
         spark.sparkContext.setCheckpointDir(found)
@@ -53,8 +58,9 @@ def _tidy() -> None:
     for spark, path in _made:
         try:
             remove(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
+        except Exception:  # noqa: BLE001  the session has ended; a folder of this machine can go all the same
+            if path.startswith("file:"):
+                shutil.rmtree(urlsplit(path).path, ignore_errors=True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -74,9 +80,15 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for a broadcast if it has at most so many rows (counted here), else df as it is. df is cheap to read."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for a broadcast if it has at most so many rows, and bytes in texts (counted here), else df as it is.
+
+    df is cheap to read; columns other than texts have a fixed width.
+    """
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    width = reduce(lambda a, b: a + b, texts, F.lit(0).cast("long"))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def by_file(files: DataFrame, most: int = 20_000) -> DataFrame:
