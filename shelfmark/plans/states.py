@@ -216,7 +216,7 @@ def fair_allocation(t: Tables) -> DataFrame:
     return folds.fair_allocation(rows, 400)
 
 
-@query()
+@query("SELECT event_id, arg_min(event_type, ts) AS event_type, min(ts) AS ts FROM events GROUP BY event_id")
 def stream_dedup(t: Tables) -> DataFrame:
     from shelfmark.streaming.replay import first_events
 

@@ -110,7 +110,7 @@ def match_cascade(t: Tables) -> DataFrame:
     return titles.match_titles(pairs, "p_partkey", "a", "b", "x", "y", "sa", "sb", "ka")
 
 
-@query()
+@query("SELECT p_partkey, p_name || ' II' AS aliases FROM part")
 def alias_merge(t: Tables) -> DataFrame:
     names = F.array(F.upper("p_name"), F.replace("p_name", F.lit(" "), F.lit("-")), F.concat("p_name", F.lit(" II")), F.lit(""), F.concat("p_name", F.lit("  II")))
     return t.part.select("p_partkey", F.array_join(fn.merge_aliases("p_name", names), "|").alias("aliases"))
@@ -254,7 +254,9 @@ def content_hash_dedup(t: Tables) -> DataFrame:
 sql("health_ladder", "SELECT user_id, CASE WHEN e > 0.5 THEN 'CRITICAL' WHEN e > 0.22 THEN 'DEGRADED' WHEN n < 5 THEN 'UNKNOWN' ELSE 'HEALTHY' END AS verdict FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) / count(*) AS e FROM events GROUP BY user_id) x")
 
 
-@query()
+@query("""
+WITH x AS (SELECT p_partkey, [p_name, upper(p_name), regexp_replace(p_name, '\\s+\\S+$', ''), string_split(p_name, ' ')[1], p_name || ' ' || p_brand, p_name || ' ' || p_type] AS t FROM part)
+SELECT p_partkey, array_to_string(list_filter(t, lambda v, i: list_position(list_transform(t, lambda u: lower(u)), lower(v)) = i)[1:5], '|') AS queries FROM x""")
 def query_candidates(t: Tables) -> DataFrame:
     """At most five search texts of a work, without repeats in other case."""
     name = F.col("p_name")
