@@ -25,7 +25,21 @@ def latency_nearest_rank(t: Tables) -> DataFrame:
     return found.groupBy("event_type").agg(*(F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 1).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))))
 
 
-sql("source_stats", "SELECT user_id AS source, count(*) AS n, coalesce(round(avg(value), 1), 0) AS mean, round(sum(value), 3) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")
+@query("SELECT user_id AS source, count(*) AS n, coalesce(round(avg(value), 1), 0) AS mean, round(sum(value), 3) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")
+def source_stats(t: Tables) -> DataFrame:
+    """Sums are of decimals with 18 places, so that a mean like 54.35 rounds up in whatever order its rows come; sources with
+    values or sums from 1e20 on, or not finite, are summed as doubles."""
+    rows = t.events.withColumn("exact", F.col("value").try_cast("decimal(38,18)"))
+    total, n = F.when(F.count("exact") == F.count("value"), F.try_sum("exact")), F.count("value")
+    mean = F.round(F.try_divide(total, n), 1).cast("double")
+    return rows.groupBy(F.col("user_id").alias("source")).agg(
+        F.count("*").alias("n"),
+        F.coalesce(mean, F.round(F.avg("value"), 1), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.round(total, 3).cast("double"), F.round(F.sum("value"), 3)).alias("total"),
+        F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"),
+    )
+
+
 sql("slot_utilization", """
 WITH s AS (SELECT CASE WHEN event_type IN ('click', 'purchase') THEN 'busy' WHEN event_type = 'error' THEN 'blocked' ELSE 'idle' END AS state, value FROM events)
 SELECT state, count(*) AS samples, round(1e2 * count(*) / (SELECT count(*) FROM events), 2) AS share, round(avg(value), 4) AS occupancy, round(count(*) * 60 / (avg(value) * count(*)), 4) AS capacity FROM s GROUP BY state""")
